@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from listenlake.checks.fixtures import lake
 from listenlake.checks.registry import check
-from listenlake.operators.topk import medal, with_rank
+from listenlake.operators.filters import drop_unkeyed
+from listenlake.operators.rollup import per_track
+from listenlake.operators.topk import medal, top_k, with_rank
 from listenlake.plans import details, reports, search
 
 START, END = "1996-03-01", "2000-06-30"
@@ -187,12 +189,8 @@ def _(spark, sf_dir):
 , totals as (select p.track_isrc, {TOTALS} from fx_plays p where p.track_isrc is not null group by p.track_isrc)
 select track_isrc, total_ms, play_count from totals order by play_count desc, track_isrc limit 50""")
 def _(spark, sf_dir):
-    from listenlake.operators.filters import drop_unkeyed
-    from listenlake.operators.rollup import rollup
-    from listenlake.operators.topk import top_k
-
-    rolled = drop_unkeyed(rollup(lake(spark, sf_dir)), "track_isrc")
-    return top_k(rolled.select("track_isrc", "total_ms", "play_count"), "play_count", ["track_isrc"], 50)
+    plays = drop_unkeyed(lake(spark, sf_dir).plays, "track_isrc")
+    return top_k(per_track(plays).select("track_isrc", "total_ms", "play_count"), "play_count", ["track_isrc"], 50)
 
 
 @check("ranked_top_tracks", f"""

@@ -20,37 +20,30 @@ def tracks_of_artist(lake: Lake, artist_id: str) -> DataFrame:
     return main.unionByName(features).distinct()
 
 
-def credit_rows(tracks: DataFrame, track_features: DataFrame) -> DataFrame:
-    """(isrc, ord, artist_id): main artist first, features after, repeats kept.
-
-    Features are joined to `tracks`, so a short list of tracks reads few of them.
-    """
-    main = tracks.select("isrc", F.lit(0).alias("ord"), "artist_id")
-    features = tracks.select("isrc").join(
-        track_features.select(F.col("track_isrc").alias("isrc"), "artist_id"), "isrc"
-    ).select("isrc", F.lit(1).alias("ord"), "artist_id")
-    return main.unionByName(features)
-
-
-def credit_names(lake: Lake, tracks: DataFrame | None = None) -> DataFrame:
-    """(isrc, ord, artist_id, name); an unknown artist drops."""
-    credits = credit_rows(lake.tracks if tracks is None else tracks, lake.track_features)
+def credit_names(lake: Lake) -> DataFrame:
+    """(isrc, ord, artist_id, name): main artist first, features after, repeats kept; unknown artists drop."""
+    main = lake.tracks.select("isrc", F.lit(0).alias("ord"), "artist_id")
+    features = lake.track_features.select(
+        F.col("track_isrc").alias("isrc"), F.lit(1).alias("ord"), "artist_id"
+    )
     names = lake.artists.select(F.col("id").alias("artist_id"), "name")
-    return credits.join(names, "artist_id").select("isrc", "ord", "artist_id", "name")
+    return main.unionByName(features).join(names, "artist_id").select("isrc", "ord", "artist_id", "name")
 
 
 def join_names(credits: Column) -> Column:
-    """Aggregate of (ord, artist_id, name) structs as `main, feature, feature`."""
-    return F.array_join(F.transform(F.sort_array(F.collect_list(credits)), lambda c: c["name"]), ", ")
+    """Aggregate of (ord, artist_id, name) structs as `main, feature, feature`.
 
+    Features sort by artist id; null structs are skipped; no credit gives null.
+    A group is one track's credits, which came from the artist list of a single
+    metadata row.
+    """
+    names = F.transform(F.sort_array(F.collect_list(credits)), lambda c: c["name"])
+    return F.when(F.size(names) > 0, F.array_join(names, ", "))
 
-def display_names(lake: Lake, tracks: DataFrame | None = None) -> DataFrame:
-    """(isrc, artist): the credited names of each track in one string.
 
-    Features sort by artist id.  A group is one track's credits, which came
-    from the artist list of a single metadata row.
-    """
-    return credit_names(lake, tracks).groupBy("isrc").agg(
+def display_names(lake: Lake) -> DataFrame:
+    """(isrc, artist): the credited names of every track in one string."""
+    return credit_names(lake).groupBy("isrc").agg(
         join_names(F.struct("ord", "artist_id", "name")).alias("artist")
     )
 
@@ -58,12 +51,23 @@ def display_names(lake: Lake, tracks: DataFrame | None = None) -> DataFrame:
 def with_display_names(lake: Lake, ranked: DataFrame, artist_display: str = "all") -> DataFrame:
     """Add `artist` to rows that carry `isrc` and `artist_id`; no credits give null.
 
-    `artist_display="main"` names the main artist only.
+    Only the credits of these rows are looked up.  Rows keep all their columns
+    on both ways into the union, so that both read one exchange and the list
+    behind it is computed once.  `artist_display="main"` names the main artist only.
     """
     if artist_display == "main":
         names = lake.artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist"))
         return ranked.join(names, "artist_id", "left")
-    tracks = ranked.select("isrc", "artist_id")
-    if "library" in ranked.columns:
-        tracks = tracks.distinct()
-    return ranked.join(display_names(lake, tracks), "isrc", "left")
+    payload = ranked.columns
+    ranked = ranked.repartition("isrc")
+    features = lake.track_features.select(
+        F.col("track_isrc").alias("isrc"), F.col("artist_id").alias("credit_id")
+    )
+    credits = ranked.select(*payload, F.lit(0).alias("ord"), F.col("artist_id").alias("credit_id")).unionByName(
+        ranked.join(features, "isrc").select(*payload, F.lit(1).alias("ord"), "credit_id")
+    )
+    names = lake.artists.select(F.col("id").alias("credit_id"), F.col("name").alias("credit_name"))
+    credit = F.struct("ord", "credit_id", F.col("credit_name").alias("name"))
+    return credits.join(names, "credit_id", "left").groupBy(*payload).agg(
+        join_names(F.when(F.col("credit_name").isNotNull(), credit)).alias("artist")
+    )

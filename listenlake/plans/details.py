@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from listenlake.functions.text import listening_time
 from listenlake.lake import Lake
 from listenlake.operators.filters import preset_range
+from listenlake.operators.rollup import detail_stats
 from listenlake.operators.topk import metric, with_rank
 from listenlake.plans import reports, search
+from listenlake.session import cut_lineage
 
 SECTIONS = T.StructType([
     T.StructField("section", T.StringType()),
@@ -64,12 +66,14 @@ def artist_detail(lake: Lake, name: str, limit: int = 10, param: int = 0,
     if artist_id is None:
         return lake.artists.sparkSession.createDataFrame([], SECTIONS)
     by = metric(param)
-    stats = reports.artist_stats(lake, artist_id, library).withColumn("name", F.lit(name))
+    # All three parts need these rows; writing them down keeps it at one scan of plays.
+    played = cut_lineage(reports.played_by_artist(lake, artist_id, library=library))
+    stats = detail_stats(played).withColumn("name", F.lit(name))
     tracks = with_rank(
-        reports.artist_top_tracks_keyed(lake, artist_id, limit, param, library=library), by, ["isrc"], limit
+        reports.artist_top_tracks_keyed(lake, artist_id, limit, param, played=played), by, ["isrc"], limit
     )
     albums = with_rank(
-        reports.artist_top_albums_keyed(lake, artist_id, limit, param, library), by, ["album_id"], limit
+        reports.artist_top_albums_keyed(lake, artist_id, limit, param, played=played), by, ["album_id"], limit
     )
     return _stack([
         _section(stats.withColumnRenamed("total_plays", "play_count"), "stats"),
@@ -87,11 +91,12 @@ def album_detail(lake: Lake, name: str, limit: int = 50, param: int = 0,
     owner = lake.albums.filter(F.col("id") == album_id).join(
         lake.artists.select(F.col("id").alias("artist_id"), F.col("name").alias("owner")), "artist_id"
     ).agg(F.coalesce(F.max("owner"), F.lit("")))
-    stats = reports.album_stats(lake, album_id, library).withColumns(
+    played = cut_lineage(reports.played_on_album(lake, album_id, library))
+    stats = detail_stats(played).withColumns(
         {"name": F.lit(name), "artist": owner.scalar()}
     )
     tracks = with_rank(
-        reports.album_tracks_keyed(lake, album_id, limit, param, library), metric(param), ["isrc"], limit
+        reports.album_tracks_keyed(lake, album_id, limit, param, played=played), metric(param), ["isrc"], limit
     )
     return _stack([
         _section(stats.withColumnRenamed("total_plays", "play_count"), "stats"),

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from listenlake.functions.text import listening_time
 from listenlake.lake import Lake
 from listenlake.operators.credits import all_artists, tracks_of_artist, with_display_names
-from listenlake.operators.rollup import detail_stats, rollup, totals
+from listenlake.operators.rollup import detail_stats, rollup, totals, track_count
 from listenlake.operators.topk import metric, top
 
 
@@ -23,10 +23,6 @@ def _finish(df: DataFrame, columns: list[str], per_library: bool = False) -> Dat
     )
 
 
-def _counts(lake: Lake, start=None, end=None, library: str | None = None, per_library: bool = False) -> DataFrame:
-    return rollup(lake, start, end, library, per_library).drop("first_listen")
-
-
 def _ordered(df: DataFrame, by: str, keys: list[str], per_library: bool) -> DataFrame:
     """Put the list back in order after the name joins; it is short by now."""
     return df.orderBy(*(["library"] if per_library else []), F.desc(by), *keys)
@@ -48,7 +44,7 @@ def general_stats(lake: Lake, start=None, end=None, library: str | None = None,
     grouped = joined.groupBy("library") if per_library else joined.groupBy()
     stats = grouped.agg(
         *totals(),
-        F.count("track_isrc").alias("total_tracks"),
+        track_count().alias("total_tracks"),
         F.count_distinct("known_artist").alias("total_artists"),
         F.count_distinct("album_id").alias("total_albums"),
     )
@@ -67,7 +63,9 @@ def top_tracks_keyed(lake: Lake, limit: int = 10, param: int = 0, start=None, en
     tracks = lake.tracks.select("isrc", "title", "artist_id")
     if artist_display == "main":
         tracks = tracks.join(lake.artists.select(F.col("id").alias("artist_id")), "artist_id", "left_semi")
-    rolled = _counts(lake, start, end, library, per_library).withColumnRenamed("track_isrc", "isrc")
+    rolled = rollup(lake, start, end, library, per_library).drop("first_listen").withColumnRenamed(
+        "track_isrc", "isrc"
+    )
     ranked = top(rolled.join(tracks, "isrc"), metric(param), ["isrc"], limit, per_library)
     return with_display_names(lake, ranked, artist_display)
 
@@ -123,18 +121,29 @@ def top_albums(lake: Lake, limit: int = 10, param: int = 0, start=None, end=None
     return _finish(ranked, ["album", "artist"], per_library)
 
 
+def played_by_artist(lake: Lake, artist_id: str, start=None, end=None, library: str | None = None) -> DataFrame:
+    """Per-track totals of the tracks the artist is credited on."""
+    return rollup(lake, start, end, library).join(tracks_of_artist(lake, artist_id), "track_isrc")
+
+
+def played_on_album(lake: Lake, album_id: str, library: str | None = None) -> DataFrame:
+    """Per-track totals of the tracks on the album."""
+    own = lake.tracks.filter(F.col("album_id") == album_id).select(F.col("isrc").alias("track_isrc"))
+    return rollup(lake, library=library).join(own, "track_isrc")
+
+
 def artist_top_tracks_keyed(lake: Lake, artist_id: str, limit: int = 10, param: int = 0, start=None,
-                            end=None, library: str | None = None,
-                            artist_display: str = "all") -> DataFrame:
-    own = tracks_of_artist(lake, artist_id)
+                            end=None, library: str | None = None, artist_display: str = "all",
+                            played: DataFrame | None = None) -> DataFrame:
+    if played is None:
+        played = played_by_artist(lake, artist_id, start, end, library)
     tracks = lake.tracks.select(F.col("isrc").alias("track_isrc"), "title", "artist_id", "album_id")
     albums = lake.albums.select(F.col("id").alias("album_id"), F.col("name").alias("album"))
-    played = (
-        _counts(lake, start, end, library)
-        .join(own, "track_isrc").join(tracks, "track_isrc").join(albums, "album_id")
+    listed = (
+        played.drop("first_listen").join(tracks, "track_isrc").join(albums, "album_id")
         .withColumnRenamed("track_isrc", "isrc")
     )
-    ranked = top(played, metric(param), ["isrc"], limit)
+    ranked = top(listed, metric(param), ["isrc"], limit)
     if artist_display == "asked":
         asked = lake.artists.filter(F.col("id") == artist_id).select(F.col("name").alias("artist"))
         return ranked.withColumn("artist", asked.scalar())
@@ -149,13 +158,11 @@ def artist_top_tracks(lake: Lake, artist_id: str, limit: int = 10, param: int =
 
 
 def artist_top_albums_keyed(lake: Lake, artist_id: str, limit: int = 10, param: int = 0,
-                            library: str | None = None) -> DataFrame:
+                            library: str | None = None, played: DataFrame | None = None) -> DataFrame:
+    if played is None:
+        played = played_by_artist(lake, artist_id, library=library)
     tracks = lake.tracks.select(F.col("isrc").alias("track_isrc"), "album_id")
-    per_album = (
-        rollup(lake, library=library)
-        .join(tracks_of_artist(lake, artist_id), "track_isrc").join(tracks, "track_isrc")
-        .groupBy("album_id").agg(*totals())
-    )
+    per_album = played.join(tracks, "track_isrc").groupBy("album_id").agg(*totals())
     albums = lake.albums.select(F.col("id").alias("album_id"), F.col("name").alias("album"))
     asked = lake.artists.filter(F.col("id") == artist_id).select(
         F.col("id").alias("asked_id"), F.col("name").alias("artist")
@@ -172,18 +179,20 @@ def artist_top_albums(lake: Lake, artist_id: str, limit: int = 10, param: int =
 
 
 def album_tracks_keyed(lake: Lake, album_id: str, limit: int = 10, param: int = 0,
-                       library: str | None = None) -> DataFrame:
+                       library: str | None = None, played: DataFrame | None = None) -> DataFrame:
+    if played is None:
+        played = played_on_album(lake, album_id, library)
     tracks = lake.tracks.filter(F.col("album_id") == album_id).select(
         F.col("isrc").alias("track_isrc"), "title", "artist_id", "album_id"
     )
     albums = lake.albums.filter(F.col("id") == album_id).select(
         F.col("id").alias("album_id"), F.col("name").alias("album")
     )
-    played = (
-        _counts(lake, library=library).join(tracks, "track_isrc").join(albums, "album_id")
+    listed = (
+        played.drop("first_listen").join(tracks, "track_isrc").join(albums, "album_id")
         .withColumnRenamed("track_isrc", "isrc")
     )
-    return with_display_names(lake, top(played, metric(param), ["isrc"], limit))
+    return with_display_names(lake, top(listed, metric(param), ["isrc"], limit))
 
 
 def album_tracks(lake: Lake, album_id: str, limit: int = 10, param: int = 0,
@@ -195,10 +204,9 @@ def album_tracks(lake: Lake, album_id: str, limit: int = 10, param: int = 0,
 
 def artist_stats(lake: Lake, artist_id: str, library: str | None = None) -> DataFrame:
     """{total_plays, total_ms, listening_time, unique_tracks, first_listen}, features included."""
-    return detail_stats(rollup(lake, library=library).join(tracks_of_artist(lake, artist_id), "track_isrc"))
+    return detail_stats(played_by_artist(lake, artist_id, library=library))
 
 
 def album_stats(lake: Lake, album_id: str, library: str | None = None) -> DataFrame:
     """The same columns for one album."""
-    own = lake.tracks.filter(F.col("album_id") == album_id).select(F.col("isrc").alias("track_isrc"))
-    return detail_stats(rollup(lake, library=library).join(own, "track_isrc"))
+    return detail_stats(played_on_album(lake, album_id, library))
