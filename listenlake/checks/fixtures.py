@@ -140,6 +140,17 @@ def lake(spark: SparkSession, sf_dir: str) -> Lake:
     )
 
 
+def storable(lake: Lake) -> Lake:
+    """The lake with arrival in the stored shape."""
+    def arrival(df: DataFrame) -> DataFrame:
+        zero = F.lit(0).cast("long")
+        return df.withColumn("seq", F.struct(
+            zero.alias("batch"), F.lit("").alias("file"), F.col("seq").alias("pos"), zero.alias("item")
+        ))
+
+    return lake.with_tables(artists=arrival(lake.artists), albums=arrival(lake.albums))
+
+
 # The same views as DuckDB text.
 SQL = """
 fx_artists as (
