@@ -27,6 +27,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "day": F.date_format("l_shipdate", "yyyy-MM-dd"),
         "clock": F.concat(two("l_linenumber"), F.lit(":"), two("l_quantity"), F.lit(":00")),
         "k": F.col("l_linenumber") % 4,
+        # Distinct wherever the recording is.
+        "pos": (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 10_000_000 + F.col("l_partkey"),
         "file_no": F.floor(F.col("l_orderkey") / ORDERS_PER_FILE),
     })
 
@@ -45,7 +47,7 @@ def history_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("spotify_track_uri"),
         F.when(F.col("l_discount") == 0, text("Episode ", "l_orderkey")).alias("episode_name"),
         text("", "file_no").alias("file"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+        "pos",
         F.col("l_linestatus").alias("part"),
         "file_no",
     )
@@ -62,7 +64,7 @@ def history_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat("day", F.lit(" "), "clock").alias("Date"),
         (F.col("l_quantity") * 10).alias("Listening Time"),
         text("", "file_no").alias("file"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
+        "pos",
         F.col("l_linestatus").alias("part"),
         "file_no",
     )
@@ -184,6 +186,7 @@ SQL = f"""
   select *, strftime(l_shipdate, '%Y-%m-%d') as day,
          lpad(cast(l_linenumber as varchar), 2, '0') || ':' ||
          lpad(cast(cast(l_quantity as int) as varchar), 2, '0') || ':00' as clock,
+         (l_orderkey * 8 + l_linenumber) * 10000000 + l_partkey as pos,
          l_linenumber % 4 as k, l_orderkey // {ORDERS_PER_FILE} as file_no
   from lineitem),
 raw_a as (
@@ -193,14 +196,14 @@ raw_a as (
          'Album ' || l_partkey as master_metadata_album_album_name,
          case when l_linenumber <> 7 then 'spotify:track:sp' || l_partkey || 'x' || k end as spotify_track_uri,
          case when l_discount = 0 then 'Episode ' || l_orderkey end as episode_name,
-         cast(file_no as varchar) as file, l_orderkey * 8 + l_linenumber as pos, l_linestatus as part
+         cast(file_no as varchar) as file, pos, l_linestatus as part
   from fx_lines),
 raw_b as (
   select 'Band & Co ' || l_suppkey as "Artist", 'Album ' || l_partkey as "Album Title",
          'Song ' || l_partkey as "Song Title",
          case when l_linenumber <> 7 then cast(l_partkey as varchar) end as "ISRC",
          day || ' ' || clock as "Date", l_quantity * 10 as "Listening Time",
-         cast(file_no as varchar) as file, l_orderkey * 8 + l_linenumber as pos, l_linestatus as part
+         cast(file_no as varchar) as file, pos, l_linestatus as part
   from fx_lines),
 norm_a as (
   select split_part(spotify_track_uri, ':', -1) as spotify_id, ms_played,

@@ -121,11 +121,14 @@ def merge_editions(lake: Lake, vocabulary: Sequence[str] = EDITION_WORDS) -> Lak
 def blend_exports(lake: Lake, history_a: DataFrame | None, history_b: DataFrame | None,
                   metadata: DataFrame, batch: int = 0,
                   vocabulary: Sequence[str] = EDITION_WORDS) -> Lake:
-    """Both platforms into one lake: A, then B, then the edition merge."""
+    """Both platforms into one lake: A, then B, then the edition merge.
+
+    Everything from B arrives after everything from A.
+    """
     if history_a is not None:
-        lake = import_a(lake, history_a, metadata, batch)
+        lake = import_a(lake, history_a, metadata, 2 * batch)
     if history_b is not None:
-        lake = import_b(lake, history_b, metadata, batch)
+        lake = import_b(lake, history_b, metadata, 2 * batch + 1)
     return merge_editions(lake, vocabulary)
 
 
