@@ -103,9 +103,13 @@ def _(spark, sf_dir):
     )
 
 
+def _new_store(spark) -> LakeStore:
+    return LakeStore(spark, scratch_path(spark, "lake"), buckets=2)
+
+
 def _stored(spark, sf_dir) -> LakeStore:
     """The fixture lake written as a stored one."""
-    store = LakeStore(spark, scratch_path(spark, "lake")).create()
+    store = _new_store(spark).create()
     lk = storable(lake(spark, sf_dir))
     store.append_plays(lk.plays, "first")
     store.write_catalog(lk, "first")
@@ -152,7 +156,7 @@ def _(spark, sf_dir):
 select library, count(*) as plays, cast(sum(ms_played) as bigint) as total_ms
 from (select distinct * from fx_plays) group by library""")
 def _(spark, sf_dir):
-    store = LakeStore(spark, scratch_path(spark, "lake")).create()
+    store = _new_store(spark).create()
     store.append_plays(lake(spark, sf_dir).plays, "first", dedupe=True)
     return store.read().plays.groupBy("library").agg(
         F.count("*").alias("plays"), F.sum("ms_played").alias("total_ms")
@@ -183,7 +187,7 @@ def _(spark, sf_dir):
             F.col("event_type").alias("source"),
         ), strict=False)
 
-    store = LakeStore(spark, scratch_path(spark, "lake"))
+    store = _new_store(spark)
     checkpoint = scratch_path(spark, "stream")
     rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).option(
         "pathGlobFilter", "events.parquet"
@@ -256,7 +260,7 @@ def _normalized(spark, sf_dir, part_a: str, part_b: str):
 
 @check("import_library", IMPORTED, recursive=True)
 def _(spark, sf_dir):
-    store = LakeStore(spark, scratch_path(spark, "lake"))
+    store = _new_store(spark)
     a, b = _normalized(spark, sf_dir, "F", "O")
     lk = imports.import_library(store, "both", a, b, raw.metadata(spark, sf_dir))
     played = lk.plays.groupBy(F.col("track_isrc").alias("isrc")).agg(
@@ -281,7 +285,7 @@ select track_isrc, source, count(*) as plays, cast(sum(ms_played) as bigint) as
 from in_plays group by track_isrc, source""")
 def _(spark, sf_dir):
     # The later import resolves ids of the earlier one too; doing it again adds nothing.
-    store, found = LakeStore(spark, scratch_path(spark, "lake")), raw.metadata(spark, sf_dir)
+    store, found = _new_store(spark), raw.metadata(spark, sf_dir)
     imports.import_library(store, "first", _normalized(spark, sf_dir, "F", "O")[0], None, found)
     for _ in range(2):
         lk = imports.import_library(store, "second", *_normalized(spark, sf_dir, "O", "O"), found)

@@ -12,6 +12,7 @@ class Lake:
     """Lazy handles on the catalog and the plays.
 
     One catalog serves all libraries; `plays.library` says whose play it is.
+    `buckets` is the number of library folders per year of a stored lake.
     """
 
     artists: DataFrame
@@ -20,6 +21,7 @@ class Lake:
     track_features: DataFrame
     plays: DataFrame
     track_aliases: DataFrame | None = None
+    buckets: int | None = None
 
     def with_tables(self, **tables: DataFrame) -> "Lake":
         return replace(self, **tables)

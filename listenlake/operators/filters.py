@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from listenlake.schemas import MIN_LISTEN_MS
 
-# Plays are spread over this many folders per year (see sources.store).
-LIBRARY_BUCKETS = 64
 
-
-def library_bucket(library: Column) -> Column:
-    return F.pmod(F.xxhash64(library), F.lit(LIBRARY_BUCKETS)).cast("int")
+def library_bucket(library: Column, buckets: int) -> Column:
+    """Folder number of a library in a stored lake."""
+    return F.pmod(F.xxhash64(library), F.lit(buckets)).cast("int")
 
 
 def _as_date(value: str | dt.date | None) -> dt.date | None:
@@ -53,13 +51,13 @@ def preset_range(preset: str, today: dt.date | None = None) -> tuple[dt.date | N
     raise ValueError(f"unknown preset {preset!r}")
 
 
-def of_library(plays: DataFrame, library: str | None) -> DataFrame:
-    """Plays of one library, pruned to its folders; None keeps all."""
+def of_library(plays: DataFrame, library: str | None, buckets: int | None = None) -> DataFrame:
+    """Plays of one library, pruned to its folders in a stored lake; None keeps all."""
     if library is None:
         return plays
     plays = plays.filter(F.col("library") == library)
-    if "library_bucket" in plays.columns:
-        plays = plays.filter(F.col("library_bucket") == library_bucket(F.lit(library)))
+    if buckets is not None:
+        plays = plays.filter(F.col("library_bucket") == library_bucket(F.lit(library), buckets))
     return plays
 
 

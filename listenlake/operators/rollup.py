@@ -35,7 +35,7 @@ def per_track(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def rollup(lake: Lake, start=None, end=None, library: str | None = None, per_library: bool = False) -> DataFrame:
     """Per-track totals of the selected plays."""
-    plays = in_range(of_library(lake.plays, library), start, end)
+    plays = in_range(of_library(lake.plays, library, lake.buckets), start, end)
     return per_track(plays, ["library"] if per_library else [])
 
 

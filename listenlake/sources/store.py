@@ -2,7 +2,7 @@
 
     <base>/catalog/version=<n>/<table>   one full catalog per import
     <base>/plays/year=/library_bucket=/batch=
-    <base>/versions                      one row per finished import
+    <base>/versions                      one row per finished import, with the bucket count
 
 A reader takes the newest version that `versions` lists, so a half-written
 catalog is never seen.  Plays are spread by year and a hash of the library, not
@@ -12,7 +12,7 @@ by library: millions of listeners would be millions of folders.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from listenlake.lake import Lake
 from listenlake.operators.filters import library_bucket, of_library
@@ -21,6 +21,7 @@ from listenlake.schemas import CATALOG_TABLES, PLAYS
 VERSIONS = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("batch", T.StringType()),
+    T.StructField("buckets", T.IntegerType()),
 ])
 STORED_PLAYS = T.StructType([
     *PLAYS.fields,
@@ -31,9 +32,18 @@ STORED_PLAYS = T.StructType([
 
 
 class LakeStore:
-    def __init__(self, spark: SparkSession, base: str):
+    """One lake below `base`.
+
+    `buckets` counts the library folders of a year in a new lake; one that
+    exists keeps its own count.  Choose it so that a folder of one year holds
+    some hundred files.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, buckets: int = 64):
         self.spark = spark
         self.base = base.rstrip("/")
+        newest = self._newest()
+        self.buckets = buckets if newest is None else newest["buckets"]
 
     def create(self) -> "LakeStore":
         """Write empty tables unless the lake exists already."""
@@ -44,15 +54,19 @@ class LakeStore:
             self.write_catalog(Lake(plays=plays, **empty), "create")
         return self
 
-    def version(self) -> int | None:
-        """The newest finished version, None for no lake."""
+    def _newest(self) -> Row | None:
         try:
             versions = self.spark.read.schema(VERSIONS).parquet(f"{self.base}/versions")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return versions.agg(F.max("version")).first()[0]
+        return versions.agg(F.max(F.struct("version", "buckets")).alias("newest")).first()["newest"]
+
+    def version(self) -> int | None:
+        """The newest finished version, None for no lake."""
+        newest = self._newest()
+        return None if newest is None else newest["version"]
 
     def finished(self, batch: str) -> bool:
         """Whether an import with this name has been completed."""
@@ -67,7 +81,7 @@ class LakeStore:
             for name, schema in CATALOG_TABLES.items()
         }
         plays = self.spark.read.schema(STORED_PLAYS).parquet(f"{self.base}/plays")
-        return Lake(plays=of_library(plays, library), **tables)
+        return Lake(plays=of_library(plays, library, self.buckets), buckets=self.buckets, **tables)
 
     def write_catalog(self, lake: Lake, batch: str) -> int:
         """Write all catalog tables beside the old ones, then list the new version."""
@@ -78,7 +92,7 @@ class LakeStore:
             if table is None:
                 table = self.spark.createDataFrame([], schema)
             table.write.mode("overwrite").parquet(f"{self.base}/catalog/version={version}/{name}")
-        listed = self.spark.createDataFrame([(version, batch)], VERSIONS)
+        listed = self.spark.createDataFrame([(version, batch, self.buckets)], VERSIONS)
         listed.coalesce(1).write.mode("append").parquet(f"{self.base}/versions")
         return version
 
@@ -96,7 +110,7 @@ class LakeStore:
             plays.select(*PLAYS.fieldNames())
             .withColumns({
                 "year": F.year("played_at_date"),
-                "library_bucket": library_bucket(F.col("library")),
+                "library_bucket": library_bucket(F.col("library"), self.buckets),
                 "batch": F.lit(batch),
             })
             .hint("rebalance", "year", "library_bucket")
