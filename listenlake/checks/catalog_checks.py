@@ -10,7 +10,8 @@ from listenlake.checks.operator_checks import edition_match
 from listenlake.checks.registry import check
 from listenlake.lake import Lake
 from listenlake.operators import editions, releases
-from listenlake.schemas import CATALOG_TABLES, PLAYS
+from listenlake.session import scratch_path
+from listenlake.sources.store import LakeStore
 
 TRACK_COLUMNS = ["isrc", "title", "artist_id", "album_id", "duration_ms", "spotify_id"]
 
@@ -62,11 +63,6 @@ def _(spark, sf_dir):
     return releases.insert_or_ignore(lake(spark, sf_dir).artists, incoming, ["id"], ["name"], "seq")
 
 
-def empty_lake(spark) -> Lake:
-    tables = {name: spark.createDataFrame([], schema) for name, schema in CATALOG_TABLES.items()}
-    return Lake(plays=spark.createDataFrame([], PLAYS), **tables)
-
-
 def winners(spark, sf_dir):
     """Best release per code, first seen in the order of the platform ids."""
     flat = releases.flatten_metadata(raw.metadata(spark, sf_dir))
@@ -115,7 +111,7 @@ select 'album', id, name, artist_id, album_type, null from winner_albums union a
 select 'track', isrc, title, artist_id, album_id, duration_ms || '/' || spotify_id from winners union all
 select distinct 'feature', isrc, unnest([low_id, high_id, artist_id]), null, null, null from winners""")
 def _(spark, sf_dir):
-    return _catalog_rows(releases.add_winners(empty_lake(spark), winners(spark, sf_dir)))
+    return _catalog_rows(releases.add_winners(LakeStore(spark, scratch_path(spark, "lake")).empty(), winners(spark, sf_dir)))
 
 
 @check("upgrade_release", f"""{WINNERS}

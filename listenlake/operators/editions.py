@@ -23,25 +23,20 @@ from listenlake.schemas import EDITION_WORDS
 from listenlake.session import cut_lineage
 
 
-def _front_cuts(text: Column, vocabulary: Sequence[str]) -> Column:
-    """Lengths that can be cut off the front, leaving whole or begun edition words behind."""
-    pattern = f"^(?:(?:{'|'.join(map(re.escape, vocabulary))})?{NOT_LETTER})*+"
-    whole = F.length(F.regexp_extract(text, pattern, 0))
-    begun = F.array(*[F.lit(p) for p in sorted({w[:n] for w in vocabulary for n in range(1, len(w) + 1)})])
-    steps = F.sequence(F.lit(1), F.lit(max(len(w) for w in vocabulary)))
-    partial = F.filter(
-        steps,
-        lambda n: (whole + n <= F.length(text)) & F.array_contains(begun, F.substring(text, whole + 1, n)),
-    )
-    return F.concat(F.sequence(F.lit(0), whole), F.transform(partial, lambda n: whole + n))
+def _loose_front(text: Column, vocabulary: Sequence[str]) -> Column:
+    """How much of the front is edition words, whole or begun: any cut within it may be one."""
+    whole = "|".join(map(re.escape, vocabulary))
+    begun = sorted({w[:n] for w in vocabulary for n in range(1, len(w) + 1)}, key=len, reverse=True)
+    pattern = f"^(?:(?:{whole})?{NOT_LETTER})*+(?:{'|'.join(map(re.escape, begun))})?"
+    return F.length(F.regexp_extract(text, pattern, 0))
 
 
 def shorter_names(name: Column, vocabulary: Sequence[str] = EDITION_WORDS) -> Column:
     """Every other name that `name` (in lower case) would be an edition of."""
     size = F.length(name)
-    starts = _front_cuts(name, vocabulary)
-    back = _front_cuts(F.reverse(name), [w[::-1] for w in vocabulary])
-    ends = F.transform(back, lambda n: size - n)
+    starts = F.sequence(F.lit(0), _loose_front(name, vocabulary))
+    back = _loose_front(F.reverse(name), [w[::-1] for w in vocabulary])
+    ends = F.transform(F.sequence(F.lit(0), back), lambda n: size - n)
     spans = F.flatten(F.transform(starts, lambda s: F.transform(
         F.filter(ends, lambda e: e >= s), lambda e: F.struct(s.alias("s"), e.alias("e"))
     )))

@@ -12,7 +12,7 @@ from listenlake.operators.filters import drop_unkeyed
 from listenlake.operators.releases import (
     add_winners, best_release, catalog_album_types, insert_or_ignore, upgrade_release, upgrades_only,
 )
-from listenlake.schemas import EDITION_WORDS, PLAYS, SOURCE_A, SOURCE_B
+from listenlake.schemas import EDITION_WORDS, SOURCE_A, SOURCE_B
 from listenlake.session import cut_lineage
 from listenlake.sources.metadata import candidates_by_id, candidates_by_isrc
 from listenlake.sources.store import LakeStore
@@ -90,7 +90,7 @@ def import_a(lake: Lake, history: DataFrame, metadata: DataFrame, batch: int = 0
     """Add platform A: stored releases stay, new codes get their best release."""
     candidates = cut_lineage(candidates_by_id(unresolved_ids(history, lake.tracks, batch), metadata))
     aliases = known_aliases(lake, candidates)
-    lake = add_winners(lake, best_release(candidates))
+    lake = add_winners(lake, cut_lineage(best_release(candidates)))
     return lake.with_tables(
         track_aliases=aliases, plays=lake.plays.unionByName(resolve_plays(history, aliases))
     )
@@ -141,15 +141,15 @@ def import_library(store: LakeStore, batch: str, history_a: DataFrame | None, hi
     broke off is written over when it runs again.  The catalog version comes
     last; until then readers join the new plays to the old catalog.
     """
-    store.create()
-    if store.finished(batch):
+    version = store.version()
+    if version is None:
+        lake, number = store.empty(), 0
+    elif store.finished(batch):
         return store.read()
-    lake = store.read()
-    # Plays of earlier imports stay where they are; only the new ones are written.
-    no_plays = store.spark.createDataFrame([], PLAYS)
-    blended = blend_exports(
-        lake.with_tables(plays=no_plays), history_a, history_b, metadata, store.version() + 1, vocabulary
-    )
+    else:
+        # Plays of earlier imports stay where they are; only the new ones are written.
+        lake, number = store.read().with_tables(plays=store.empty().plays), version + 1
+    blended = blend_exports(lake, history_a, history_b, metadata, number, vocabulary)
     store.append_plays(blended.plays, batch, dedupe)
     store.write_catalog(blended, batch)
     return store.read()

@@ -46,6 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder, so that losing executors loses no work."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` to a table in the shared folder and read it back.
+
+    Losing executors then loses no work, later plans start small, and unlike a
+    checkpoint the table has columns to prune and a size to plan joins by.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -45,13 +45,17 @@ class LakeStore:
         newest = self._newest()
         self.buckets = buckets if newest is None else newest["buckets"]
 
+    def empty(self) -> Lake:
+        """The five tables and the aliases without rows."""
+        tables = {name: self.spark.createDataFrame([], schema) for name, schema in CATALOG_TABLES.items()}
+        return Lake(plays=self.spark.createDataFrame([], PLAYS), **tables)
+
     def create(self) -> "LakeStore":
         """Write empty tables unless the lake exists already."""
         if self.version() is None:
-            plays = self.spark.createDataFrame([], PLAYS)
-            empty = {name: self.spark.createDataFrame([], schema) for name, schema in CATALOG_TABLES.items()}
-            self.append_plays(plays, "create")
-            self.write_catalog(Lake(plays=plays, **empty), "create")
+            lake = self.empty()
+            self.append_plays(lake.plays, "create")
+            self.write_catalog(lake, "create")
         return self
 
     def _newest(self) -> Row | None:
