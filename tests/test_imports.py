@@ -51,50 +51,55 @@ def store(spark, tmp_path):
     return LakeStore(spark, str(tmp_path / "lake"), buckets=2)
 
 
-def test_platform_a_picks_the_best_release_and_first_seen_on_ties(metadata, listens_a, store):
+@pytest.fixture
+def empty(store):
+    return store.empty()
+
+
+def test_platform_a_picks_the_best_release_and_first_seen_on_ties(metadata, listens_a, empty):
     found = metadata(
         track("s", "I1", "single", "single"), track("a", "I1", "short", n=5), track("b", "I1", "long", n=9),
         track("c", "I1", "long too", n=9), track("z", None, "no code"),
     )
-    lake = imports.import_library(store, "1", listens_a("s", "c", "b", "a", "z", None, "unknown"), None, found)
+    lake = imports.import_a(empty, listens_a("s", "c", "b", "a", "z", None, "unknown"), found)
     assert rows(lake.tracks, "isrc", "album_id", "spotify_id") == [("I1", "long too", "c")]
     assert rows(lake.albums, "id") == [("long too",)]
     # Every id of the recording counts; an unknown id keeps its play without a code.
     assert sorted(rows(lake.plays.groupBy("track_isrc").count()), key=str) == [("I1", 4), (None, 2)]
 
 
-def test_features_and_album_owner(metadata, listens_a, store):
+def test_features_and_album_owner(metadata, listens_a, empty):
     found = metadata(
         track("a", "I1", "shared", artists=("Ann", "Bob", "Ann", "Bob")), track("b", "I2", "shared", artists=("Bob",)),
     )
-    lake = imports.import_library(store, "1", listens_a("b", "a"), None, found)
+    lake = imports.import_a(empty, listens_a("b", "a"), found)
     assert rows(lake.albums, "id", "artist_id") == [("shared", "bob")]
     assert sorted(rows(lake.track_features)) == [("I1", "ann"), ("I1", "bob")]
     assert sorted(rows(lake.artists, "id", "name")) == [("ann", "Ann"), ("bob", "Bob")]
 
 
-def test_a_page_with_another_id_leaves_the_play_unresolved(metadata, listens_a, store):
-    lake = imports.import_library(store, "1", listens_a("old", "new"), None, metadata(track("old", "I1", "x", page="new")))
+def test_a_page_with_another_id_leaves_the_play_unresolved(metadata, listens_a, empty):
+    lake = imports.import_a(empty, listens_a("old", "new"), metadata(track("old", "I1", "x", page="new")))
     assert sorted(rows(lake.plays, "track_isrc"), key=str) == [("I1",), (None,)]
 
 
-def test_a_later_import_resolves_ids_seen_before(metadata, listens_a, store):
+def test_a_later_import_resolves_ids_seen_before(metadata, listens_a, empty):
     found = metadata(track("a", "I1", "x"), track("b", "I1", "y", n=3))
-    imports.import_library(store, "1", listens_a("a", "b"), None, found)
-    lake = imports.import_library(store, "2", listens_a("a", "b", "b"), None, found)
+    lake = imports.import_a(empty, listens_a("a", "b"), found)
+    lake = imports.import_a(lake, listens_a("a", "b", "b"), found, batch=1)
     assert rows(lake.plays.groupBy("track_isrc").count()) == [("I1", 5)]
 
 
-def test_platform_a_never_upgrades_and_b_does_when_strictly_better(metadata, listens_a, listens_b, store):
-    imports.import_library(store, "1", listens_a("s"), None, metadata(track("s", "I1", "single", "single", artists=("Ann", "Bob"))))
+def test_platform_a_never_upgrades_and_b_does_when_strictly_better(metadata, listens_a, listens_b, empty):
+    lake = imports.import_a(empty, listens_a("s"), metadata(track("s", "I1", "single", "single", artists=("Ann", "Bob"))))
     better = metadata(track("l", "I1", "full", "album", artists=("Zed", "Yan"), title="Other"),
                       track("s2", "I2", "same", "single", rank=2), track("c2", "I2", "comp", "compilation", rank=1))
     # Platform A leaves the stored track, but credits the new release's features on it.
     again = metadata(track("l", "I1", "full", "album", artists=("Zed", "Cat")))
-    lake = imports.import_library(store, "2", listens_a("l"), None, again)
+    lake = imports.import_a(lake, listens_a("l"), again, batch=1)
     assert rows(lake.tracks, "isrc", "album_id") == [("I1", "single")]
     assert sorted(rows(lake.track_features)) == [("I1", "bob"), ("I1", "cat")]
-    lake = imports.import_library(store, "3", None, listens_b("I1", "I2", "I3", None), better)
+    lake = imports.import_b(lake, listens_b("I1", "I2", "I3", None), better, batch=2)
     assert sorted(rows(lake.tracks, "isrc", "title", "artist_id", "album_id", "spotify_id")) == [
         ("I1", "Other", "ann", "full", "l"), ("I2", "Song I2", "ann", "comp", "c2"),
     ]
@@ -102,13 +107,13 @@ def test_platform_a_never_upgrades_and_b_does_when_strictly_better(metadata, lis
     assert sorted(rows(lake.track_features)) == [("I1", "bob"), ("I1", "cat")]
     # Only plays with a known code are taken, under the other source.
     assert sorted(rows(lake.plays.filter("source = 'Deezer'"), "track_isrc")) == [("I1",), ("I2",)]
-    same = imports.import_library(store, "4", None, listens_b("I1"), metadata(track("q", "I1", "again", "album")))
+    same = imports.import_b(lake, listens_b("I1"), metadata(track("q", "I1", "again", "album")), batch=3)
     assert rows(same.tracks.filter("isrc = 'I1'"), "album_id") == [("full",)]
 
 
-def test_only_four_candidates_are_looked_at(metadata, listens_b, store):
+def test_only_four_candidates_are_looked_at(metadata, listens_b, empty):
     found = metadata(*[track(f"r{i}", "I1", f"al{i}", "single", n=i, rank=i) for i in range(1, 6)])
-    lake = imports.import_library(store, "1", None, listens_b("I1"), found)
+    lake = imports.import_b(empty, listens_b("I1"), found)
     assert rows(lake.tracks, "spotify_id") == [("r4",)]
 
 
