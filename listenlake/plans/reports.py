@@ -145,7 +145,7 @@ def artist_top_tracks_keyed(lake: Lake, artist_id: str, limit: int = 10, param:
     )
     ranked = top(listed, metric(param), ["isrc"], limit)
     if artist_display == "asked":
-        asked = lake.artists.filter(F.col("id") == artist_id).select(F.col("name").alias("artist"))
+        asked = lake.artists.filter(F.col("id") == artist_id).agg(F.max("name"))
         return ranked.withColumn("artist", asked.scalar())
     return with_display_names(lake, ranked)
 
@@ -164,11 +164,8 @@ def artist_top_albums_keyed(lake: Lake, artist_id: str, limit: int = 10, param:
     tracks = lake.tracks.select(F.col("isrc").alias("track_isrc"), "album_id")
     per_album = played.join(tracks, "track_isrc").groupBy("album_id").agg(*totals())
     albums = lake.albums.select(F.col("id").alias("album_id"), F.col("name").alias("album"))
-    asked = lake.artists.filter(F.col("id") == artist_id).select(
-        F.col("id").alias("asked_id"), F.col("name").alias("artist")
-    )
-    # Every row is the asked artist's, so the constant key only adds the name.
-    named = per_album.join(albums, "album_id").withColumn("asked_id", F.lit(artist_id)).join(asked, "asked_id")
+    asked = lake.artists.filter(F.col("id") == artist_id).agg(F.max("name"))
+    named = per_album.join(albums, "album_id").withColumn("artist", asked.scalar()).dropna(subset=["artist"])
     return top(named, metric(param), ["album_id"], limit)
 
 
