@@ -376,27 +376,35 @@ def _(spark, sf_dir):
 
 STATS_SECTION = """select 'stats' as section, cast(null as int) as rank, {name} as name, {artist} as artist,
        cast(null as varchar) as album, total_ms, total_plays as play_count, listening_time, first_listen,
-       unique_tracks from stats"""
+       unique_tracks from stats where {known} is not null"""
 
 
-@check("artist_detail", f"""{CREDITS}, {ARTIST_TRACKS.format(where="true")},
+def named(statement: str, table: str, key: str, name: str) -> str:
+    """The statement with `key` found by name, as the detail pages do."""
+    found = f"(select arg_min(id, (seq, id)) from {table} where name = '{name}')"
+    return statement.replace(f"'{key}'", found).replace("{known}", found)
+
+
+@check("artist_detail", named(f"""{CREDITS}, {ARTIST_TRACKS.format(where="true")},
 best_tracks as (select * from totals left join shown using (isrc) order by total_ms desc, isrc limit 10),
 {ARTIST_ALBUMS.strip().replace('totals as', 'album_totals as', 1)},
 best_albums as (select * from album_totals order by total_ms desc, id limit 10),
 stats as ({DETAIL} from fx_plays p join credited c using (track_isrc) where c.artist_id = '{ARTIST}')
-{STATS_SECTION.format(name=f"'{ARTIST_NAME}'", artist="cast(null as varchar)")} union all
+{STATS_SECTION.format(name=f"'{ARTIST_NAME}'", artist="cast(null as varchar)", known="{known}")} union all
 {section('tracks', 'best_tracks', 'total_ms', 'isrc', name='title', artist='artist', album='album')} union all
-{section('albums', 'best_albums', 'total_ms', 'id', name='album', artist='artist', album='album')}""")
+{section('albums', 'best_albums', 'total_ms', 'id', name='album', artist='artist', album='album')}""",
+                              "fx_artists", ARTIST, ARTIST_NAME))
 def _(spark, sf_dir):
     return details.artist_detail(lake(spark, sf_dir), ARTIST_NAME)
 
 
-@check("album_detail", f"""{CREDITS}, {ALBUM_TRACKS},
+@check("album_detail", named(f"""{CREDITS}, {ALBUM_TRACKS},
 best_tracks as (select * from totals left join shown using (isrc) order by total_ms desc, isrc limit 50),
 stats as ({DETAIL} from fx_plays p join fx_tracks t on t.isrc = p.track_isrc where t.album_id = '{ALBUM}'),
 owner as (select a.name from fx_albums al join fx_artists a on a.id = al.artist_id where al.id = '{ALBUM}')
-{STATS_SECTION.format(name=f"'{ALBUM_NAME}'", artist="(select name from owner)")} union all
-{section('tracks', 'best_tracks', 'total_ms', 'isrc', name='title', artist='artist', album='album')}""")
+{STATS_SECTION.format(name=f"'{ALBUM_NAME}'", artist="(select name from owner)", known="{known}")} union all
+{section('tracks', 'best_tracks', 'total_ms', 'isrc', name='title', artist='artist', album='album')}""",
+                             "fx_albums", ALBUM, ALBUM_NAME))
 def _(spark, sf_dir):
     return details.album_detail(lake(spark, sf_dir), ALBUM_NAME)
 
