@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listenlake.checks.fixtures import table
 from listenlake.schemas import HISTORY_A, HISTORY_B, TRACK_METADATA, WORKBOOK_SHEET
+from listenlake.session import send_by_value
+
+# The file builders run in Python workers.
+send_by_value(__name__)
 
 URL_PREFIX = "https://open.spotify.com/track/"
 # One export file holds the listens of this many orders.

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -29,6 +31,11 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     return builder.getOrCreate()
 
 
+def send_by_value(module: str) -> None:
+    """Send a module's functions to Python workers as they are, so that workers need not have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names; a local one only where it names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -21,6 +21,10 @@ from listenlake.operators.filters import long_enough, without_episodes
 from listenlake.schemas import (
     HIDDEN_FILE_PREFIX, HISTORY_A, HISTORY_B, HISTORY_FILE_GLOB, HISTORY_FILE_MARK, WORKBOOK_SHEET,
 )
+from listenlake.session import send_by_value
+
+# The workbook and archive readers run in Python workers.
+send_by_value(__name__)
 
 FILE_TEXT = T.StructType([
     T.StructField("file", T.StringType()),
