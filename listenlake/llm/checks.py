@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import quality, urls
+from listenlake.llm import mixing, quality, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,9 @@ def op8(spark, sf_dir):
     return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).select(
         "page_id", "host", "path", "rule", "verdict", "template", "purity"
     )
+
+
+@query("op7_source_mixing")
+def op7(spark, sf_dir):
+    pieces, documents = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.taken_words(pieces, documents).select("doc_id", "size", "source", "source_size", "target", "taken")
