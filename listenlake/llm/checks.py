@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import mixing, quality, urls
+from listenlake.llm import mixing, quality, tokens, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,8 @@ def op8(spark, sf_dir):
 def op7(spark, sf_dir):
     pieces, documents = mixing.mix(table(spark, sf_dir, "documents"))
     return mixing.taken_words(pieces, documents).select("doc_id", "size", "source", "source_size", "target", "taken")
+
+
+@query("op10_token_output")
+def op10(spark, sf_dir):
+    return tokens.token_dataset(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
