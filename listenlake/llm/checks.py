@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import mixing, quality, tokens, urls
+from listenlake.llm import chat, mixing, quality, tokens, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,29 @@ def op7(spark, sf_dir):
 @query("op10_token_output")
 def op10(spark, sf_dir):
     return tokens.token_dataset(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+CHAT_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all by name select -7 as conv_id, 0 as turn, 'user' as role, '\### Assistant: </turn> ok' as text
+  union all by name select -7 as conv_id, 1 as turn, 'assistant' as role, '\### Assistant: </turn> ok' as text
+), e as (
+  select *, regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') as shown, regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g') as named from t
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(length(shown) + length(named) + 4 + 2 + 9)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+@query("op9_chat_formatting", CHAT_SQL)
+def op9(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return chat.read_chats(chat.format_chats(turns.unionByName(extra), vocabulary), vocabulary)
