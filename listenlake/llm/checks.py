@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, mixing, quality, tokens, urls
+from listenlake.llm import chat, contamination, mixing, quality, tokens, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +110,32 @@ def op9(spark, sf_dir):
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
     return chat.read_chats(chat.format_chats(turns.unionByName(extra), vocabulary), vocabulary)
+
+
+CONTAMINATION_SQL = r"""
+with lw as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents
+), iw as (
+  select cast(item_id as varchar) as item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark
+), win as (
+  select item_id, least(len(w), 13) as n, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') as g
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) as i from iw where len(w) > 0)
+), sizes as (select distinct n from win), grams as (
+  select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from lw, sizes where len(w) >= n)
+), hit as (select doc_id, i, n, item_id from grams join win using (n, g)),
+places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by doc_id),
+found as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from hit group by doc_id)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from lw left join places using (doc_id) left join found using (doc_id)
+"""
+
+
+@query("op6_decontamination", CONTAMINATION_SQL)
+def op6(spark, sf_dir):
+    return contamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
+    )
