@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, contamination, mixing, quality, tokens, urls
+from listenlake.llm import chat, contamination, mixing, quality, similarity, tokens, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +139,8 @@ def op6(spark, sf_dir):
     return contamination.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(
         "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"
     )
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark, sf_dir):
+    return similarity.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
