@@ -240,15 +240,16 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, text: str = "text"
     """Write `docs` as token shards below `root`, in ascending id order; returns the stored manifest.
 
     Ids are stored once before they are sorted, so that losing executors repeats no encoding.  The
-    dictionary only shapes the compression: it is trained on at most `sample_docs` documents, those of
-    the smallest hashes.  The manifest (shard, name, n_docs, n_tokens) names the files that count.
+    dictionary only shapes the compression: it is trained on about `sample_docs` documents, chosen by hash.  The manifest (shard, name, n_docs, n_tokens) names the files that count.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[doc_id]
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"), F.col(text).cast("string").alias("text"))
     coded = cut_lineage(plain.mapInArrow(partial(encode_batches, vocabulary, end_id), f"doc_id {kind}, tie long, n_tokens long, packed binary"))
-    total = coded.agg(F.sum("n_tokens")).first()[0] or 0
-    few = coded.select("doc_id", "n_tokens", "packed").orderBy(F.xxhash64("doc_id", "tie")).limit(sample_docs)
+    total, n_docs = (x or 0 for x in coded.agg(F.sum("n_tokens"), F.count("*")).first())
+    # About `sample_docs` documents: those whose hash lies in the share of the hash range that holds so many.
+    share = min(1.0, sample_docs / max(n_docs, 1))
+    few = coded.filter(F.shiftrightunsigned(F.xxhash64("doc_id", "tie"), 11) < int(share * 2 ** 53)).limit(2 * sample_docs)
     reader = zstandard.ZstdDecompressor()
     dictionary = train_dictionary([reader.decompress(bytes(r[0]))[:SAMPLE_BYTES] for r in few.select("packed").collect()])
     system, path = join_path(root, f"dictionary-{hashlib.sha256(dictionary).hexdigest()}.zdict")
