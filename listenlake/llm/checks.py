@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, contamination, mixing, quality, similarity, tokens, toxicity, urls
+from listenlake.llm import chat, contamination, mixing, pii, quality, similarity, tokens, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,8 @@ def op3(spark, sf_dir):
 def op2(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op1_pii_pseudonyms")
+def op1(spark, sf_dir):
+    return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
