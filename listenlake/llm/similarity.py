@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 
 from listenlake.llm import bytewords
 from listenlake.llm.graph import connected_components
+from listenlake.llm.postings import FREQUENT, Packer, locally_frequent, ranges_for, unpack
 from listenlake.llm.text import small
 from listenlake.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 75
 #: Largest set for which subsets may be chosen.
 MOST_LIGHT = 12
-#: Lists are keyed by so many bits of a shingle's hash: a chance meeting only adds a pair to check.
-LIST_BITS = 48
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -102,31 +101,100 @@ def lists_of(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values.view(np.int64)))
 
 
+def listed_part(found: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each set that are put on lists, and where each set's begin.
+
+    Sets are sorted by hash and the smallest are listed, so this is their beginning.
+    """
+    n = np.diff(begin)
+    length = np.minimum(n, n - (PERCENT * n + 99) // 100 + 1 + slack(n))
+    at = np.concatenate(([0], np.cumsum(length)))
+    return found[np.repeat(begin[:-1] - at[:-1], length) + np.arange(at[-1])], at
+
+
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and signature of each document's set."""
+    """Size and signature of each document's set; with the first of a round, the round's frequent hashes."""
     for batch in batches:
         for first, last in bytewords.rounds(batch.column("text")):
             found, begin = shingle_sets(batch.column("text").slice(first, last - first))
             a, b = signatures(found, begin)
+            often, count = locally_frequent(listed_part(found, begin)[0], last - first)
+            at = np.full(last - first + 1, len(often), dtype=np.int32)
+            at[0] = 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, last - first), pa.array(np.diff(begin)), pa.array(a), pa.array(b)],
-                names=["doc_id", "n", "sig_a", "sig_b"])
+                [batch.column("doc_id").slice(first, last - first), pa.array(np.diff(begin)), pa.array(a), pa.array(b),
+                 lists_of(often, at), pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64)))],
+                names=["doc_id", "n", "sig_a", "sig_b", "often", "count"])
+
 
+def own_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Nodes, hashes and beginnings of the sets whose signature is that of the row's class.
 
-def sets_of(listed: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set with its signature: whole, or the hashes to put on lists, cut to LIST_BITS."""
+    Another text under the same id has another signature and is left out.
+    """
+    for first, last in bytewords.rounds(batch.column("text")):
+        found, begin = shingle_sets(batch.column("text").slice(first, last - first))
+        a, b = signatures(found, begin)
+        column = lambda name: batch.column(name).slice(first, last - first).to_numpy()
+        right = (a == column("sig_a")) & (b == column("sig_b"))
+        if not right.all():
+            found = found[np.repeat(right, np.diff(begin))]
+            begin = np.concatenate(([0], np.cumsum(np.diff(begin)[right])))
+        yield column("node")[right], found, begin
+
+
+def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first, last in bytewords.rounds(batch.column("text")):
-            found, begin = shingle_sets(batch.column("text").slice(first, last - first))
-            a, b = signatures(found, begin)
-            n = np.diff(begin)
-            if listed:
-                # Sets are sorted by hash, so the listed part is their beginning.
-                length = np.minimum(n, n - (PERCENT * n + 99) // 100 + 1 + slack(n))
-                at = np.concatenate(([0], np.cumsum(length)))
-                found = found[np.repeat(begin[:-1] - at[:-1], length) + np.arange(at[-1])] >> np.uint64(64 - LIST_BITS)
-                begin = at
-            yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(a), pa.array(b), lists_of(found, begin)], names=["n", "sig_a", "sig_b", "hashes"])
+        for node, found, begin in own_sets(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.diff(begin)), lists_of(found, begin)], names=["node", "n", "hashes"])
+
+
+PACKED = "range long, count long, packed binary, node long, n long, length long, hot array<long>"
+
+
+def pack_listed(ranges: int, frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed postings of the listed hashes, and one row per node with its sizes and frequent hashes (no range)."""
+    packer = Packer(ranges)
+
+    def rows(packed):
+        kinds = (pa.int64(), pa.int64(), pa.binary())
+        columns = [pa.array([x[k] for x in packed], t) for k, t in enumerate(kinds)]
+        nothing = [pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*columns, *nothing], names=["range", "count", "packed", "node", "n", "length", "hot"])
+
+    for batch in batches:
+        for node, found, begin in own_sets(batch):
+            listed, at = listed_part(found, begin)
+            owner = np.repeat(np.arange(len(node)), np.diff(at))
+            place = np.minimum(np.searchsorted(frequent, listed), max(len(frequent) - 1, 0))
+            hot = frequent[place] == listed if len(frequent) else np.zeros(len(listed), dtype=bool)
+            hot_at = np.searchsorted(owner[hot], np.arange(len(node) + 1), side="left")
+            nothing = [pa.nulls(len(node), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [*nothing, pa.array(node), pa.array(np.diff(begin)), pa.array(np.diff(at)), lists_of(listed[hot], hot_at)],
+                names=["range", "count", "packed", "node", "n", "length", "hot"])
+            packed = list(packer.add(listed[~hot], node[owner[~hot]]))
+            if packed:
+                yield rows(packed)
+    packed = list(packer.flush())
+    if packed:
+        yield rows(packed)
+
+
+def shared_in_range(key: tuple, table: pa.Table) -> pa.Table:
+    """(node, hash, df) of the hashes of one range that more than one node lists."""
+    low, node = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist())
+    order = np.lexsort((node, low))
+    low, node = low[order], node[order]
+    new = np.ones(len(low), dtype=bool)
+    new[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
+    low, node = low[new], node[new]
+    begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, dtype=np.int64)
+    df = np.diff(np.concatenate((begin, [len(low)])))
+    df = np.repeat(df, df)
+    keep = df > 1
+    value = (np.int64(key[0].as_py()) << np.int64(32)) | low[keep].astype(np.int64)
+    return pa.table({"node": node[keep], "hash": value, "df": df[keep].astype(np.int64)})
 
 
 def subsets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,21 +248,25 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
-def candidate_lists(listed: DataFrame) -> DataFrame:
-    """Rows (hash, node, n, kept, score): the rarest listed hashes of each set that another set lists too.
+def candidate_lists(packed: DataFrame) -> DataFrame:
+    """Rows (node, n, score, kept): the rarest listed hashes of each set that another set lists too.
 
     Two sets that link have 1 + slack of the smaller size listed in common, so each may leave out that
     many of its most frequent hashes, in one order for all sets, and they still meet on a kept one.
-    Hashes on one list only come first in that order and meet nobody.
+    Hashes listed once come first in that order and meet nobody; the frequent ones come last.
     """
-    postings = listed.select("node", "n", F.size("hashes").alias("length"), F.explode("hashes").alias("hash"))
-    often = postings.groupBy("hash").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = postings.join(often, "hash").groupBy("node", "n", "length").agg(F.sort_array(F.collect_list(F.struct("df", "hash"))).alias("found"))
+    found = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
+        shared_in_range, "node long, hash long, df long")
+    shared = found.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "hash"))), lambda x: x["hash"]).alias("found"))
+    info = packed.filter("range is null").select("node", "n", "length", "hot").dropDuplicates(["node"])
+    nothing = F.array().cast("array<bigint>")
+    # A frequent hash keeps all its bits and a negative sign, apart from the numbers of the ranges.
+    hot = F.array_sort(F.transform("hot", lambda x: -1 - F.shiftrightunsigned(x, 1)))
+    met = info.join(shared, "node", "left").withColumn("all", F.concat(F.coalesce("found", nothing), hot))
     spare = F.floor(F.ceil(F.col("n") * PERCENT / 100.0) / 8)
-    keep = F.col("length") - spare - (F.col("length") - F.size("found"))
-    kept = shared.withColumn("keep", keep.cast("int")).filter("keep > 0").select(
-        "node", "n", F.size("found").alias("score"), F.transform(F.slice("found", 1, F.col("keep")), lambda x: x["hash"]).alias("kept"))
-    return cut_lineage(kept)
+    keep = F.col("length") - spare - (F.col("length") - F.size("all"))
+    return cut_lineage(met.withColumn("keep", keep.cast("int")).filter("keep > 0").select(
+        "node", "n", F.size("all").alias("score"), F.slice("all", 1, F.col("keep")).alias("kept")))
 
 
 def heavy_edges(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -225,31 +297,39 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """Per document: doc_id, n_shingles, component_id (smallest id reachable by links) and class_id (smallest id with the same set)."""
     kind = dict(docs.dtypes)[doc_id]
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = cut_lineage(plain.mapInArrow(describe, f"doc_id {kind}, n long, sig_a long, sig_b long"))
+    described = cut_lineage(plain.mapInArrow(
+        describe, f"doc_id {kind}, n long, sig_a long, sig_b long, often array<long>, count array<long>"))
     signature = ["n", "sig_a", "sig_b"]
     classes = cut_lineage(described.filter("n > 0").groupBy(*signature).agg(F.min("doc_id").alias("class_id")).withColumn(
         "node", F.monotonically_increasing_id()))
     sizes = dict(classes.filter(F.col("n") <= 2 * MOST_LIGHT).groupBy("n").count().collect())
     boundary = choose_boundary(sizes)
-    lowest = -(-PERCENT * (boundary + 1) // 100)
+    heavy = classes.filter(F.col("n") >= -(-PERCENT * (boundary + 1) // 100))
+
+    # At most 2 * (listed hashes of a document) / FREQUENT hashes can be this frequent.
+    frequent = described.select(F.inline(F.arrays_zip("often", "count"))).groupBy("often").agg(F.sum("count").alias("count")).filter(
+        F.col("count") >= FREQUENT / 2 * described.count()).toArrow().column("often").to_numpy()
+    frequent = np.sort(frequent.view(np.uint64))
+    n = F.col("n")
+    listed = n - F.ceil(n * PERCENT / 100.0) + 1 + F.floor(n / 8)
+    ranges = ranges_for(heavy.agg(F.sum(F.least(n, listed))).first()[0] or 0)
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """One text of each class in `wanted`, with the class."""
+        return plain.join(small(wanted.select(F.col("class_id").alias("doc_id"), "node", "sig_a", "sig_b")), "doc_id").select("text", "node", "sig_a", "sig_b")
 
-    def sets(listed: bool, wanted: DataFrame) -> DataFrame:
-        """Sets of the classes in `wanted`, made again from one text of each."""
-        texts = plain.join(small(wanted.select(F.col("class_id").alias("doc_id")).distinct()), "doc_id", "left_semi").select("text")
-        made = texts.mapInArrow(partial(sets_of, listed), "n long, sig_a long, sig_b long, hashes array<long>")
-        return made.join(small(wanted.select(*signature, "node")), signature).select("node", "n", "hashes").dropDuplicates(["node"]) if not listed \
-            else made.join(small(wanted.select(*signature, "node")), signature).select("node", "n", "hashes")
+    def sets(wanted: DataFrame) -> DataFrame:
+        return texts(wanted).mapInArrow(whole_sets, "node long, n long, hashes array<long>").dropDuplicates(["node"])
 
-    listed = cut_lineage(sets(True, classes.filter(F.col("n") >= lowest)))
-    lists = candidate_lists(listed)
+    lists = candidate_lists(cut_lineage(texts(heavy).mapInArrow(partial(pack_listed, ranges, frequent), PACKED)))
     reached = cut_lineage(classes.join(small(lists.select("node")), "node", "left_semi"))
-    edges = heavy_edges(lists, cut_lineage(sets(False, reached)))
-    light = light_edges(cut_lineage(sets(False, classes.filter(F.col("n") <= boundary))))
+    edges = heavy_edges(lists, cut_lineage(sets(reached)))
+    light = light_edges(cut_lineage(sets(classes.filter(F.col("n") <= boundary))))
     labels = connected_components(edges.unionByName(light))
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     final = cut_lineage(named.join(smallest, "label").select(*signature, "class_id", "component_id"))
-    return described.join(small(final), signature, "left").select(
+    return described.drop("often", "count").join(small(final), signature, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
