@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, contamination, mixing, pii, quality, similarity, tokens, toxicity, urls
+from listenlake.llm import chat, contamination, mixing, passages, pii, quality, similarity, tokens, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -155,3 +155,8 @@ def op2(spark, sf_dir):
 @query("op1_pii_pseudonyms")
 def op1(spark, sf_dir):
     return pii.pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_substring_dedup")
+def op5(spark, sf_dir):
+    return passages.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -22,9 +22,8 @@ def ranges_for(postings: int) -> int:
     return max(1, -(-postings // RANGE))
 
 
-def split_hash(value: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    """Range of each hash, and 32 bits that tell it from others of its range."""
-    return (((value >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64), (value & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+def range_of(value: np.ndarray, ranges: int) -> np.ndarray:
+    return (((value >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
 def locally_frequent(value: np.ndarray, documents: int, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -39,10 +38,15 @@ def locally_frequent(value: np.ndarray, documents: int, share: float = FREQUENT)
 
 
 class Packer:
-    """Gathers postings and yields (range, count, packed) when there are enough, and at the end."""
+    """Gathers postings and yields (range, count, packed) when there are enough, and at the end.
 
-    def __init__(self, ranges: int):
+    Of a hash its low 32 bits are kept, or all 64 for `exact`: where chance meetings are checked
+    later, one in a few thousand does no harm.
+    """
+
+    def __init__(self, ranges: int, exact: bool = False):
         self.ranges, self.held, self.size = ranges, [], 0
+        self.type = np.uint64 if exact else np.uint32
         self.zip = zstandard.ZstdCompressor(level=1)
 
     def add(self, value: np.ndarray, node: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -56,7 +60,7 @@ class Packer:
             return
         columns = [np.concatenate(x) for x in zip(*self.held)]
         self.held, self.size = [], 0
-        number, low = split_hash(columns[0], self.ranges)
+        number, low = range_of(columns[0], self.ranges), columns[0].astype(self.type)
         order = np.argsort(number, kind="stable")
         number, low, rest = number[order], low[order], [c[order] for c in columns[1:]]
         edges = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
@@ -66,13 +70,14 @@ class Packer:
             yield int(number[a]), int(b - a), self.zip.compress(b"".join(parts))
 
 
-def unpack(counts: list[int], blobs: list[bytes], more: int = 0) -> list[np.ndarray]:
-    """Low hash bits, node and `more` further columns of all packed postings of a range."""
+def unpack(counts: list[int], blobs: list[bytes], more: int = 0, exact: bool = False) -> list[np.ndarray]:
+    """Hash bits, node and `more` further columns of all packed postings of a range."""
     reader, columns = zstandard.ZstdDecompressor(), [[] for _ in range(2 + more)]
+    kinds = [np.dtype(np.uint64 if exact else np.uint32), np.dtype(np.int64), *[np.dtype(np.int32)] * more]
     for n, blob in zip(counts, blobs):
-        data = reader.decompress(blob)
-        columns[0].append(np.frombuffer(data, np.uint32, n))
-        columns[1].append(np.cumsum(np.frombuffer(data, np.int64, n, 4 * n)))
-        for k in range(more):
-            columns[2 + k].append(np.frombuffer(data, np.int32, n, 12 * n + 4 * n * k))
+        data, at = reader.decompress(blob), 0
+        for k, kind in enumerate(kinds):
+            columns[k].append(np.frombuffer(data, kind, n, at))
+            at += n * kind.itemsize
+        columns[1][-1] = np.cumsum(columns[1][-1])
     return [np.concatenate(c) for c in columns]
