@@ -122,9 +122,9 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.full(last - first + 1, len(often), dtype=np.int32)
             at[0] = 0
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, last - first), pa.array(np.diff(begin)), pa.array(a), pa.array(b),
+                [*[batch.column(c).slice(first, last - first) for c in ("doc_id", "text_hash")], pa.array(np.diff(begin)), pa.array(a), pa.array(b),
                  lists_of(often, at), pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64)))],
-                names=["doc_id", "n", "sig_a", "sig_b", "often", "count"])
+                names=["doc_id", "text_hash", "n", "sig_a", "sig_b", "often", "count"])
 
 
 def own_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -294,11 +294,11 @@ def heavy_edges(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links) and class_id (smallest id with the same set)."""
+    """Per row: doc_id, text_hash, n_shingles, component_id (smallest id reachable by links) and class_id (smallest id with the same set)."""
     kind = dict(docs.dtypes)[doc_id]
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = cut_lineage(plain.mapInArrow(
-        describe, f"doc_id {kind}, n long, sig_a long, sig_b long, often array<long>, count array<long>"))
+    described = cut_lineage(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        describe, f"doc_id {kind}, text_hash long, n long, sig_a long, sig_b long, often array<long>, count array<long>"))
     signature = ["n", "sig_a", "sig_b"]
     classes = cut_lineage(described.filter("n > 0").groupBy(*signature).agg(F.min("doc_id").alias("class_id")).withColumn(
         "node", F.monotonically_increasing_id()))
@@ -330,10 +330,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     final = cut_lineage(named.join(smallest, "label").select(*signature, "class_id", "component_id"))
     return described.drop("often", "count").join(small(final), signature, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+        "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each component, the one of the smallest id; documents without words all stay."""
-    keep = cut_lineage(jaccard_components(docs, doc_id, text).filter("component_id = doc_id").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small(keep), F.col(doc_id) == F.col("_id"), "left_semi")
+    """`docs` with one row of each component, that of the smallest id; documents without words all stay.
+
+    Rows alike in id and text count as one; a null id stays.
+    """
+    found = jaccard_components(docs, doc_id, text).filter("n_shingles = 0 or doc_id is null or component_id = doc_id")
+    keep = cut_lineage(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(
+        F.count("*").alias("_rows"), F.max("n_shingles").alias("_n"), F.min("class_id").alias("_class")))
+    # Two texts of one set under one id: the smaller hash stays.
+    one = keep.filter("_n > 0 and _id is not null").groupBy("_id", "_n", "_class").agg(F.min("_hash").alias("_hash"), F.sum("_rows").alias("_rows"))
+    keep = cut_lineage(one.select("_id", "_hash", (F.col("_rows") > 1).alias("_again")).unionByName(
+        keep.filter("_n = 0 or _id is null").select("_id", "_hash", F.lit(False).alias("_again"))))
+    kept = docs.join(small(keep), F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("string")) == F.col("_hash"))).drop("_id", "_hash")
+    again = kept.filter("_again").dropDuplicates([doc_id, text])
+    return kept.filter("not _again").unionByName(again).drop("_again") if not keep.filter("_again").isEmpty() else kept.drop("_again")
