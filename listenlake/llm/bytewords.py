@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on together up to so many bytes; a longer text is worked on alone.
-ROUND_BYTES = 1 << 22
+ROUND_BYTES = 1 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listenlake.llm.workers import send_package
+
 #: The strings the template puts around role and text; the reserved ids follow this order above the vocabulary.
 OPEN, AFTER_ROLE, CLOSE = "### ", ": ", " </turn>\n"
 #: The role whose texts are learnt from.
@@ -95,6 +97,7 @@ def format_chats(turns: DataFrame, vocabulary: str, conv_id: str = "conv_id", tu
     Turns are encoded where they are and meet once, as a conversation is one output row; it has to
     fit a task, as it has to fit a model.
     """
+    send_package(turns.sparkSession)
     made = tokenizer(vocabulary)
     types = dict(turns.dtypes)
     plain = turns.select(
@@ -146,6 +149,7 @@ def digest_chats(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
 
 def read_chats(chats: DataFrame, vocabulary: str) -> DataFrame:
     """Digests of formatted conversations, read back from their ids, spans and text."""
+    send_package(chats.sparkSession)
     return chats.select("conv_id", "ids", "loss_spans", "formatted").mapInArrow(partial(digest_chats, vocabulary), (
         f"conv_id {dict(chats.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     ))

@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listenlake.llm import bytewords
-from listenlake.llm.postings import FREQUENT, Packer, locally_frequent, ranges_for, unpack
+from listenlake.llm.postings import FREQUENT, Frequent, Packer, ranges_for, unpack
 from listenlake.llm.text import small
+from listenlake.llm.workers import send_package
 from listenlake.session import cut_lineage
 
 RUN, WORDS, LONG = 3, 20, 16
@@ -93,19 +94,26 @@ def each_round(batch: pa.RecordBatch):
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per round: texts, spans, and its frequent hashes with their counts and first places."""
+    """Counts of texts and spans, and hashes that are frequent in a task, with their counts and first places."""
+    finder = Frequent()
+    texts = spans = 0
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int64())] * 2 + [
+            pa.array([x[k].view(np.int64).tolist() for x in found], pa.list_(pa.int64())) for k in range(4)],
+            names=["texts", "spans", "often", "count", "node", "place"])
+
     for batch in batches:
         for node, owner, place, _, hashed in each_round(batch):
-            order = np.lexsort((place, node[owner], hashed))
-            value, who, where = hashed[order], node[owner][order], place[order]
-            one = np.ones(len(value), dtype=bool)
-            one[1:] = (value[1:] != value[:-1]) | (who[1:] != who[:-1])
-            often, count = locally_frequent(value[one], len(node))
-            first = np.searchsorted(value, often, side="left")
-            at = pa.array([0, len(often)], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([len(node)]), pa.array([len(value)]), *[pa.ListArray.from_arrays(at, pa.array(x)) for x in (
-                often.view(np.int64), count.astype(np.int64), who[first], where[first].astype(np.int64))]],
-                names=["texts", "spans", "often", "count", "node", "place"])
+            texts, spans = texts + len(node), spans + len(hashed)
+            often = list(finder.add(len(node), hashed, node[owner], place))
+            if often:
+                yield rows(often)
+    often = list(finder.flush())
+    if often:
+        yield rows(often)
+    yield pa.RecordBatch.from_arrays([pa.array([texts]), pa.array([spans]), *[pa.nulls(1, pa.list_(pa.int64()))] * 4],
+                                     names=["texts", "spans", "often", "count", "node", "place"])
 
 
 def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +189,7 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
     all documents do not move: their first place is a minimum over all tasks, and each task drops the later
     ones where they are.
     """
+    send_package(docs.sparkSession)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
     # Numbers in the order of ids, so that the smallest number is the first document.
     nodes = numbered(plain.select("doc_id", "row").distinct())

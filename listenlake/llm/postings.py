@@ -26,15 +26,38 @@ def range_of(value: np.ndarray, ranges: int) -> np.ndarray:
     return (((value >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def locally_frequent(value: np.ndarray, documents: int, share: float = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in at least half the frequent share of these documents, with their counts.
+class Frequent:
+    """Gathers postings of a task's documents and yields the hashes that are frequent among them.
 
-    `value` has a hash at most once a document.  Any hash in `share` of all documents reaches half of
-    that share in batches that hold half of its occurrences, so sums of these counts do not miss it.
+    A yield holds (hashes, counts, first nodes, first places), from every FLUSH postings on.  A hash in `share` of
+    all documents is in half of that share at least in those flushes that hold half its occurrences, so
+    sums of these counts do not miss it.
     """
-    seen, count = np.unique(value, return_counts=True)
-    often = count >= max(8, share / 2 * documents)
-    return seen[often], count[often]
+
+    def __init__(self, share: float = FREQUENT):
+        self.share, self.held, self.size, self.documents = share, [], 0, 0
+
+    def add(self, documents: int, value: np.ndarray, node: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        self.held.append((value, node, place))
+        self.size += len(value)
+        self.documents += documents
+        if self.size >= FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[tuple[np.ndarray, ...]]:
+        if not self.size:
+            return
+        value, node, place = (np.concatenate(x) for x in zip(*self.held))
+        least = max(8, self.share / 2 * self.documents)
+        self.held, self.size, self.documents = [], 0, 0
+        order = np.lexsort((place, node, value))
+        value, node, place = value[order], node[order], place[order]
+        one = np.ones(len(value), dtype=bool)
+        one[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
+        seen, count = np.unique(value[one], return_counts=True)
+        seen, count = seen[count >= least], count[count >= least]
+        first = np.searchsorted(value, seen, side="left")
+        yield seen, count, node[first], place[first]
 
 
 class Packer:

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from listenlake.llm import bytewords
 from listenlake.llm.graph import connected_components
-from listenlake.llm.postings import FREQUENT, Packer, locally_frequent, ranges_for, unpack
+from listenlake.llm.postings import FREQUENT, Frequent, Packer, ranges_for, unpack
 from listenlake.llm.text import small
+from listenlake.llm.workers import send_package
 from listenlake.session import cut_lineage
 
 SHINGLE, PERCENT = 5, 75
@@ -113,18 +114,33 @@ def listed_part(found: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and signature of each document's set; with the first of a round, the round's frequent hashes."""
+    """Size and signature of each document's set; rows of size -1 hold hashes that are frequent in a task, with counts."""
+    finder, kind, texts = Frequent(), None, 0
+
+    def rows(found):
+        nothing = [pa.nulls(len(found), t) for t in (kind, pa.int64())]
+        return pa.RecordBatch.from_arrays([
+            *nothing, pa.array([-1] * len(found), pa.int64()), *[pa.nulls(len(found), pa.int64())] * 2,
+            *[pa.array([x[k].view(np.int64).tolist() for x in found], pa.list_(pa.int64())) for k in (0, 1)]],
+            names=["doc_id", "text_hash", "n", "sig_a", "sig_b", "often", "count"])
+
     for batch in batches:
+        kind = batch.schema.field("doc_id").type
         for first, last in bytewords.rounds(batch.column("text")):
             found, begin = shingle_sets(batch.column("text").slice(first, last - first))
             a, b = signatures(found, begin)
-            often, count = locally_frequent(listed_part(found, begin)[0], last - first)
-            at = np.full(last - first + 1, len(often), dtype=np.int32)
-            at[0] = 0
+            nothing = pa.nulls(last - first, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c).slice(first, last - first) for c in ("doc_id", "text_hash")], pa.array(np.diff(begin)), pa.array(a), pa.array(b),
-                 lists_of(often, at), pa.ListArray.from_arrays(pa.array(at), pa.array(count.astype(np.int64)))],
-                names=["doc_id", "text_hash", "n", "sig_a", "sig_b", "often", "count"])
+                 nothing, nothing], names=["doc_id", "text_hash", "n", "sig_a", "sig_b", "often", "count"])
+            listed, at = listed_part(found, begin)
+            often = list(finder.add(last - first, listed, texts + np.repeat(np.arange(last - first), np.diff(at)), np.zeros(len(listed), dtype=np.int64)))
+            texts += last - first
+            if often:
+                yield rows(often)
+    often = list(finder.flush())
+    if often:
+        yield rows(often)
 
 
 def own_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -295,10 +311,12 @@ def heavy_edges(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, text_hash, n_shingles, component_id (smallest id reachable by links) and class_id (smallest id with the same set)."""
+    send_package(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    described = cut_lineage(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+    scanned = cut_lineage(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
         describe, f"doc_id {kind}, text_hash long, n long, sig_a long, sig_b long, often array<long>, count array<long>"))
+    described = scanned.filter("n >= 0").drop("often", "count")
     signature = ["n", "sig_a", "sig_b"]
     classes = cut_lineage(described.filter("n > 0").groupBy(*signature).agg(F.min("doc_id").alias("class_id")).withColumn(
         "node", F.monotonically_increasing_id()))
@@ -307,7 +325,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     heavy = classes.filter(F.col("n") >= -(-PERCENT * (boundary + 1) // 100))
 
     # At most 2 * (listed hashes of a document) / FREQUENT hashes can be this frequent.
-    frequent = described.select(F.inline(F.arrays_zip("often", "count"))).groupBy("often").agg(F.sum("count").alias("count")).filter(
+    frequent = scanned.filter("n < 0").select(F.inline(F.arrays_zip("often", "count"))).groupBy("often").agg(F.sum("count").alias("count")).filter(
         F.col("count") >= FREQUENT / 2 * described.count()).toArrow().column("often").to_numpy()
     frequent = np.sort(frequent.view(np.uint64))
     n = F.col("n")
@@ -329,7 +347,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     final = cut_lineage(named.join(smallest, "label").select(*signature, "class_id", "component_id"))
-    return described.drop("often", "count").join(small(final), signature, "left").select(
+    return described.join(small(final), signature, "left").select(
         "doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from listenlake.llm import bytewords
+from listenlake.llm.workers import send_package
 from listenlake.session import cut_lineage, scratch_path
 
 MAGIC = b"TOKSHRD1"
@@ -36,7 +37,7 @@ LEVEL = 3
 #: Tokens of a shard, documents the dictionary is trained on, its bytes, and the bytes of each document it sees.
 SHARD_TOKENS, SAMPLE_DOCS, DICTIONARY_BYTES, SAMPLE_BYTES = 8_000_000, 1_000, 65_536, 16_384
 #: Words a worker remembers the ids of; beyond it starts anew.
-REMEMBER = 400_000
+REMEMBER = 800_000
 
 # Letters, digits, apostrophe and other signs of ASCII; bytes of other characters are 3.
 _KIND = np.full(256, 3, dtype=np.uint8)
@@ -68,7 +69,9 @@ class Encoder:
         self.ids, self.at, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 12, dtype=np.int64), 0
 
     def learn(self, parts: list[str]) -> None:
-        found = [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        # The library's own results are large, so they are taken a few at a time.
+        found = [np.array(x.ids, dtype=np.uint32) for k in range(0, len(parts), 4096)
+                 for x in self.tokenizer.encode_batch_fast(parts[k:k + 4096], add_special_tokens=False)]
         fresh = np.concatenate(found) if found else self.ids[:0]
         while self.used + len(fresh) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
@@ -242,7 +245,7 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, text: str = "text"
     Ids are stored once before they are sorted, so that losing executors repeats no encoding.  The
     dictionary only shapes the compression: it is trained on about `sample_docs` documents, chosen by hash.  The manifest (shard, name, n_docs, n_tokens) names the files that count.
     """
-    spark = docs.sparkSession
+    send_package(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"), F.col(text).cast("string").alias("text"))
     coded = cut_lineage(plain.mapInArrow(partial(encode_batches, vocabulary, end_id), f"doc_id {kind}, tie long, n_tokens long, packed binary"))
@@ -267,6 +270,7 @@ def read_tokens(manifest: DataFrame, root: str, id_kind: str = "bigint") -> Data
 
     One row per shard meets in the window that gives each shard its start.
     """
+    send_package(manifest.sparkSession)
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     started = manifest.select("shard", "name", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("start"))
     tasks = max(1, min(manifest.count(), 2000))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listenlake.llm import bytewords
+from listenlake.llm.workers import send_package
 from listenlake.session import cut_lineage
 
 ORDER = 4
@@ -267,6 +268,7 @@ def held_out(doc_id: Column) -> Column:
 
 def char_counts(texts: DataFrame) -> np.ndarray:
     """Character runs of all texts; the table's size is that of the alphabet, whatever the corpus."""
+    send_package(texts.sparkSession)
     counts = texts.select(F.col("text").cast("string").alias("text")).mapInArrow(count_grams, "gram long, n long")
     total = np.zeros(SYMBOLS ** ORDER, dtype=np.int64)
     rows = counts.groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
