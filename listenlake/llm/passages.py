@@ -31,7 +31,7 @@ RUN, WORDS, LONG = 3, 20, 16
 #: A word in a long sentence ends a piece if its hash is 0 modulo this.
 CUT = 6
 #: Documents to change are broadcast, with their places, up to so many; ids are numbered so many a task.
-MANY_CHANGED, KEYS_PER_TASK = 100_000, 200_000
+MANY_CHANGED, KEYS_PER_TASK = 20_000, 200_000
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(x) for x in ".!?"]] = True
@@ -191,10 +191,15 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
     """
     send_package(docs.sparkSession)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
-    # Numbers in the order of ids, so that the smallest number is the first document.
-    nodes = numbered(plain.select("doc_id", "row").distinct())
-    keyed = plain.join(small(nodes), ["doc_id", "row"])
-    texts = keyed.select("node", "text")
+    counts = plain.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    if dict(docs.dtypes)[doc_id] in ("bigint", "int") and counts[0] == counts[1]:
+        # Whole-number ids that do not repeat are numbers already.
+        nodes = None
+        texts = plain.select(F.col("doc_id").cast("long").alias("node"), "text")
+    else:
+        nodes = numbered(plain.select("doc_id", "row").distinct())
+        texts = plain.alias("p").join(small(nodes).alias("n"), F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (
+            F.col("p.row") == F.col("n.row"))).select("node", "text")
     seen = cut_lineage(texts.mapInArrow(describe, (
         "texts long, spans long, often array<long>, count array<long>, node array<long>, place array<long>")))
     whole = seen.agg(F.sum("texts"), F.sum("spans")).first()
@@ -208,12 +213,16 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
         "range long, count long, packed binary, node long, place long, length long")))
     later = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
         later_in_range, "node long, place long, length long").unionByName(packed.filter("range is null").select("node", "place", "length"))
-    gone = cut_lineage(later.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(
-        F.sequence(F.col("place"), F.col("place") + F.col("length") - 1)))).alias("_gone")).join(small(nodes), "node").select(
-        F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone"))
+    gone = later.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(
+        F.sequence(F.col("place"), F.col("place") + F.col("length") - 1)))).alias("_gone"))
     columns = [c for c in docs.columns if c.lower() not in ("n_removed", "n_removed_words")]
     source = docs.select(*columns).alias("s")
-    joined = source.join(small(gone, MANY_CHANGED).alias("g"), F.col(f"s.{doc_id}").eqNullSafe(F.col("g._id")) & (F.xxhash64("s.text") == F.col("g._row")), "left")
+    if nodes is None:
+        joined = source.join(small(cut_lineage(gone), MANY_CHANGED).alias("g"), F.col(f"s.{doc_id}") == F.col("g.node"), "left")
+    else:
+        known = cut_lineage(gone.join(small(nodes), "node").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone"))
+        joined = source.join(small(known, MANY_CHANGED).alias("g"), F.col(f"s.{doc_id}").eqNullSafe(F.col("g._id")) & (
+            F.xxhash64("s.text") == F.col("g._row")), "left")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
     return joined.select("s.*", "g._gone").mapInArrow(partial(remove_pieces, columns), f"{kinds}, n_removed long, n_removed_words long")
 
