@@ -13,7 +13,7 @@ import numpy as np
 import zstandard
 
 #: Postings of a range on average, and postings a task gathers before it packs them.
-RANGE, FLUSH = 1_000_000, 2_000_000
+RANGE, FLUSH = 1_000_000, 1_000_000
 #: A hash in more than this share of all documents counts as frequent.
 FREQUENT = 0.005
 
@@ -37,8 +37,9 @@ class Frequent:
     def __init__(self, share: float = FREQUENT):
         self.share, self.held, self.size, self.documents = share, [], 0, 0
 
-    def add(self, documents: int, value: np.ndarray, node: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        self.held.append((value, node, place))
+    def add(self, documents: int, value: np.ndarray, *where: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Postings of so many more documents; without `where` (node, place), a document has a hash once and no firsts are yielded."""
+        self.held.append((value, *where))
         self.size += len(value)
         self.documents += documents
         if self.size >= FLUSH:
@@ -47,9 +48,14 @@ class Frequent:
     def flush(self) -> Iterator[tuple[np.ndarray, ...]]:
         if not self.size:
             return
-        value, node, place = (np.concatenate(x) for x in zip(*self.held))
+        value, *where = (np.concatenate(x) for x in zip(*self.held))
         least = max(8, self.share / 2 * self.documents)
         self.held, self.size, self.documents = [], 0, 0
+        if not where:
+            seen, count = np.unique(value, return_counts=True)
+            yield seen[count >= least], count[count >= least]
+            return
+        node, place = where
         order = np.lexsort((place, node, value))
         value, node, place = value[order], node[order], place[order]
         one = np.ones(len(value), dtype=bool)

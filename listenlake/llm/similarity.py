@@ -48,14 +48,9 @@ def subset_sizes(n: int, percent: int = PERCENT) -> list[int]:
     return sorted({c for m in partner_sizes(n, percent) if (c := least_overlap(n, m, percent)) <= min(n, m)})
 
 
-def slack(n):
-    """How many more common shingles than one the listed part of a set of size `n` guarantees."""
-    return n // 8
-
-
-def listed_length(n: int, percent: int = PERCENT) -> int:
-    """Shingles of a set of size `n` that are put on lists: enough to have 1 + slack(n) in common with any partner."""
-    return min(n, n + percent * n // -100 + 1 + slack(n))
+def prefix_length(n: int, percent: int = PERCENT) -> int:
+    """Of so many of its rarest shingles, a set of size `n` has one in common with every set it links with."""
+    return n - -(-percent * n // 100) + 1
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,20 +97,9 @@ def lists_of(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def listed_part(found: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of each set that are put on lists, and where each set's begin.
-
-    Sets are sorted by hash and the smallest are listed, so this is their beginning.
-    """
-    n = np.diff(begin)
-    length = np.minimum(n, n - (PERCENT * n + 99) // 100 + 1 + slack(n))
-    at = np.concatenate(([0], np.cumsum(length)))
-    return found[np.repeat(begin[:-1] - at[:-1], length) + np.arange(at[-1])], at
-
-
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and signature of each document's set; rows of size -1 hold hashes that are frequent in a task, with counts."""
-    finder, kind, texts = Frequent(), None, 0
+    finder, kind = Frequent(), None
 
     def rows(found):
         nothing = [pa.nulls(len(found), t) for t in (kind, pa.int64())]
@@ -133,9 +117,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c).slice(first, last - first) for c in ("doc_id", "text_hash")], pa.array(np.diff(begin)), pa.array(a), pa.array(b),
                  nothing, nothing], names=["doc_id", "text_hash", "n", "sig_a", "sig_b", "often", "count"])
-            listed, at = listed_part(found, begin)
-            often = list(finder.add(last - first, listed, texts + np.repeat(np.arange(last - first), np.diff(at)), np.zeros(len(listed), dtype=np.int64)))
-            texts += last - first
+            often = list(finder.add(last - first, found))
             if often:
                 yield rows(often)
     often = list(finder.flush())
@@ -165,52 +147,75 @@ def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.diff(begin)), lists_of(found, begin)], names=["node", "n", "hashes"])
 
 
-PACKED = "range long, count long, packed binary, node long, n long, length long, hot array<long>"
+PACKED = "range long, count long, packed binary, node long, n long, hot array<long>"
 
 
-def pack_listed(ranges: int, frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed postings of the listed hashes, and one row per node with its sizes and frequent hashes (no range)."""
-    packer = Packer(ranges)
+def packed_rows(packed: list[tuple], more: int) -> pa.RecordBatch:
+    columns = [pa.array([x[k] for x in packed], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+    nothing = [pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()))][:more]
+    return pa.RecordBatch.from_arrays([*columns, *nothing], names=["range", "count", "packed", "node", "n", "hot"][:3 + more])
 
-    def rows(packed):
-        kinds = (pa.int64(), pa.int64(), pa.binary())
-        columns = [pa.array([x[k] for x in packed], t) for k, t in enumerate(kinds)]
-        nothing = [pa.nulls(len(packed), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays([*columns, *nothing], names=["range", "count", "packed", "node", "n", "length", "hot"])
 
+def pack_sets(ranges: int, frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed postings (hash, node, size, frequent hashes in the set), and one row per node with frequent hashes (no range)."""
+    packer = Packer(ranges)
     for batch in batches:
         for node, found, begin in own_sets(batch):
-            listed, at = listed_part(found, begin)
-            owner = np.repeat(np.arange(len(node)), np.diff(at))
-            place = np.minimum(np.searchsorted(frequent, listed), max(len(frequent) - 1, 0))
-            hot = frequent[place] == listed if len(frequent) else np.zeros(len(listed), dtype=bool)
-            hot_at = np.searchsorted(owner[hot], np.arange(len(node) + 1), side="left")
-            nothing = [pa.nulls(len(node), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays(
-                [*nothing, pa.array(node), pa.array(np.diff(begin)), pa.array(np.diff(at)), lists_of(listed[hot], hot_at)],
-                names=["range", "count", "packed", "node", "n", "length", "hot"])
-            packed = list(packer.add(listed[~hot], node[owner[~hot]]))
+            n = np.diff(begin)
+            owner = np.repeat(np.arange(len(node)), n)
+            place = np.minimum(np.searchsorted(frequent, found), max(len(frequent) - 1, 0))
+            hot = frequent[place] == found if len(frequent) else np.zeros(len(found), dtype=bool)
+            at = np.searchsorted(owner[hot], np.arange(len(node) + 1), side="left")
+            some = np.diff(at) > 0
+            if some.any():
+                nothing = [pa.nulls(int(some.sum()), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+                own = np.concatenate(([0], np.cumsum(np.diff(at)[some])))
+                yield pa.RecordBatch.from_arrays([*nothing, pa.array(node[some]), pa.array(n[some]), lists_of(found[hot], own)],
+                                                 names=["range", "count", "packed", "node", "n", "hot"])
+            owner = owner[~hot]
+            packed = list(packer.add(found[~hot], node[owner], n[owner], np.diff(at)[owner]))
             if packed:
-                yield rows(packed)
+                yield packed_rows(packed, 3)
     packed = list(packer.flush())
     if packed:
-        yield rows(packed)
-
-
-def shared_in_range(key: tuple, table: pa.Table) -> pa.Table:
-    """(node, hash, df) of the hashes of one range that more than one node lists."""
-    low, node = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist())
-    order = np.lexsort((node, low))
-    low, node = low[order], node[order]
-    new = np.ones(len(low), dtype=bool)
-    new[1:] = (low[1:] != low[:-1]) | (node[1:] != node[:-1])
-    low, node = low[new], node[new]
-    begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1]))) if len(low) else np.zeros(0, dtype=np.int64)
+        yield packed_rows(packed, 3)
+
+
+def shared_in_range(ranges: int, key: tuple, table: pa.Table) -> pa.Table:
+    """Postings of the hashes of one range that several nodes have, packed anew by node."""
+    low, node, n, hot = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 2)
+    order = np.argsort(low, kind="stable")
+    low, node, n, hot = low[order], node[order], n[order], hot[order]
+    begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
     df = np.diff(np.concatenate((begin, [len(low)])))
     df = np.repeat(df, df)
     keep = df > 1
-    value = (np.int64(key[0].as_py()) << np.int64(32)) | low[keep].astype(np.int64)
-    return pa.table({"node": node[keep], "hash": value, "df": df[keep].astype(np.int64)})
+    low, node, n, hot, df = low[keep], node[keep], n[keep], hot[keep], df[keep]
+    order = np.argsort(node, kind="stable")
+    packer = Packer(ranges)
+    packed = [*packer.add(bytewords.mixed(node.astype(np.uint64))[order], node[order], n[order], hot[order], df[order],
+                          np.full(len(node), key[0].as_py()), low[order].view(np.int32)), *packer.flush()]
+    return pa.Table.from_batches([packed_rows(packed, 0)])
+
+
+def rarest_of_nodes(table: pa.Table) -> pa.Table:
+    """Per node of a range: size, shared hashes, and the rarest of them with how many shared ones each begins."""
+    _, node, n, hot, df, number, low = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 5)
+    value = (number.astype(np.int64) << np.int64(32)) | low.view(np.uint32).astype(np.int64)
+    order = np.lexsort((value, df, node))
+    node, n, hot, value = node[order], n[order].astype(np.int64), hot[order].astype(np.int64), value[order]
+    begin = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    found = np.diff(np.concatenate((begin, [len(node)])))
+    n, hot = n[begin], hot[begin]
+    # What no other node has comes first in the order and takes its part of the prefix.
+    keep = n - -(-PERCENT * n // 100) + 1 - (n - found - hot)
+    taken = np.clip(keep, 0, found)
+    at = np.concatenate(([0], np.cumsum(taken)))
+    inside = np.arange(at[-1]) - np.repeat(at[:-1], taken)
+    left = np.repeat(found + hot, taken) - inside
+    return pa.table({"node": node[begin], "n": n, "found": found, "more": np.maximum(keep - found, 0),
+                     "kept": lists_of(value[np.repeat(begin, taken) + inside].view(np.uint64), at),
+                     "left": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(left))})
 
 
 def subsets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +239,7 @@ def choose_boundary(counts: dict[int, int]) -> int:
     """The size up to which subsets cost less than lists, from the number of sets of each small size."""
     def cost(b: int) -> float:
         light = sum(k * sum(comb(n, c) for c in subset_sizes(n)) for n, k in counts.items() if n <= b)
-        return light + sum(k * 2 * listed_length(n) for n, k in counts.items() if n > b or 100 * n >= PERCENT * (b + 1))
+        return light + sum(k * 2 * n for n, k in counts.items() if n > b or 100 * n >= PERCENT * (b + 1))
     return min(range(MOST_LIGHT + 1), key=cost)
 
 
@@ -251,10 +256,6 @@ def light_edges(sets: DataFrame) -> DataFrame:
         F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def size_fits(n: Column, m: Column) -> Column:
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
@@ -264,48 +265,57 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         100 * common >= PERCENT * (F.size("ha") + F.size("hb") - common)).select("a", "b")
 
 
-def candidate_lists(packed: DataFrame) -> DataFrame:
-    """Rows (node, n, score, kept): the rarest listed hashes of each set that another set lists too.
+def candidate_lists(packed: DataFrame, ranges: int, nodes: int) -> DataFrame:
+    """Rows (hash, node, n, score, left): the prefix of each set in the order of document frequency, as far as it is shared.
 
-    Two sets that link have 1 + slack of the smaller size listed in common, so each may leave out that
-    many of its most frequent hashes, in one order for all sets, and they still meet on a kept one.
-    Hashes listed once come first in that order and meet nobody; the frequent ones come last.
+    A set of size n has, among its prefix_length(n) rarest hashes, one in common with every set it links
+    with.  Hashes of one set only come first in that order and meet nobody; the frequent ones come last.
+    `left` counts the shared hashes from this one on: no more can be in common with a set met here first.
     """
-    found = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
-        shared_in_range, "node long, hash long, df long")
-    shared = found.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "hash"))), lambda x: x["hash"]).alias("found"))
-    info = packed.filter("range is null").select("node", "n", "length", "hot").dropDuplicates(["node"])
-    nothing = F.array().cast("array<bigint>")
-    # A frequent hash keeps all its bits and a negative sign, apart from the numbers of the ranges.
-    hot = F.array_sort(F.transform("hot", lambda x: -1 - F.shiftrightunsigned(x, 1)))
-    met = info.join(shared, "node", "left").withColumn("all", F.concat(F.coalesce("found", nothing), hot))
-    spare = F.floor(F.ceil(F.col("n") * PERCENT / 100.0) / 8)
-    keep = F.col("length") - spare - (F.col("length") - F.size("all"))
-    return cut_lineage(met.withColumn("keep", keep.cast("int")).filter("keep > 0").select(
-        "node", "n", F.size("all").alias("score"), F.slice("all", 1, F.col("keep")).alias("kept")))
+    by_node = ranges_for(nodes * 256)
+    shared = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
+        lambda key, table: shared_in_range(by_node, key, table), "range long, count long, packed binary")
+    rarest = shared.groupBy("range").applyInArrow(
+        rarest_of_nodes, "node long, n long, found long, more long, kept array<long>, left array<long>")
+    info = packed.filter("range is null").select(F.col("node"), F.col("n").alias("n_"), "hot").dropDuplicates(["node"])
+    both = rarest.join(info, "node", "full").withColumn("hot", F.coalesce("hot", F.array().cast("array<bigint>")))
+    n = F.coalesce("n", "n_")
+    # A set that shares frequent hashes alone.
+    alone = n - F.ceil(n * PERCENT / 100.0) + 1 - (n - F.size("hot"))
+    more = F.least(F.coalesce("more", F.greatest(alone, F.lit(0))), F.size("hot"))
+    # A frequent hash keeps its bits and a negative sign, apart from the numbers of the ranges.
+    last = F.slice(F.array_sort(F.transform("hot", lambda x: -1 - F.shiftrightunsigned(x, 1))), 1, more.cast("int"))
+    hot = F.transform(last, lambda x, i: F.struct(x.alias("hash"), (F.size("hot") - i).cast("long").alias("left")))
+    rare = F.transform(F.arrays_zip("kept", "left"), lambda x: F.struct(x["kept"].alias("hash"), x["left"].alias("left")))
+    nothing = F.array().cast("array<struct<hash:bigint,left:bigint>>")
+    return cut_lineage(both.select("node", n.alias("n"), (F.coalesce("found", F.lit(0)) + F.size("hot")).alias("score"), F.inline(
+        F.concat(F.coalesce(rare, nothing), hot))))
+
+
+def may_link(n: Column, m: Column, left: Column, other: Column) -> Column:
+    """Sizes and what is left of both sets allow a link."""
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & ((100 + PERCENT) * F.least(left, other) >= PERCENT * (n + m))
 
 
 def heavy_edges(lists: DataFrame, sets: DataFrame) -> DataFrame:
     """Links among large sets, enough to connect what is connected.
 
     First each list is compared with its most central set; only sets that are then still apart are
-    compared with each other, once a pair, at the first hash they share.
+    compared with each other.
     """
-    open_ = lists.withColumn("hash", F.explode("kept"))
-    pivot = open_.groupBy("hash").agg(F.max(F.struct("score", (-F.col("node")).alias("node_"), "n")).alias("p"), F.count("*").alias("met")).filter("met > 1")
-    near = open_.join(pivot, "hash").filter((F.col("node") != -F.col("p.node_")) & size_fits(F.col("n"), F.col("p.n"))).select(
-        F.least("node", -F.col("p.node_")).alias("a"), F.greatest("node", -F.col("p.node_")).alias("b")).distinct()
+    pivot = lists.groupBy("hash").agg(F.max(F.struct("score", (-F.col("node")).alias("node_"), "n", "left")).alias("p"), F.count("*").alias("met")).filter("met > 1")
+    other = -F.col("p.node_")
+    near = lists.join(pivot, "hash").filter((F.col("node") != other) & may_link(F.col("n"), F.col("p.n"), F.col("left"), F.col("p.left"))).select(
+        F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
     first = cut_lineage(verified(near, sets))
     labels = connected_components(first)
-    placed = cut_lineage(lists.join(labels, "node", "left").select("node", "n", "kept", F.coalesce("label", "node").alias("label")))
-    member = placed.withColumn("hash", F.explode("kept"))
-    apart = member.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hash")
-    divided = cut_lineage(member.join(apart, "hash", "left_semi"))
-    a, b = divided.alias("a"), divided.alias("b")
-    rest = a.join(b, (F.col("a.hash") == F.col("b.hash")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label"))
-                  & size_fits(F.col("a.n"), F.col("b.n"))
-                  & (F.col("a.hash") == F.array_min(F.array_intersect(F.col("a.kept"), F.col("b.kept"))))).select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    placed = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    placed = cut_lineage(placed)
+    apart = placed.groupBy("hash").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hash")
+    divided = cut_lineage(placed.join(apart, "hash", "left_semi"))
+    rest = divided.alias("a").join(divided.alias("b"), (F.col("a.hash") == F.col("b.hash")) & (F.col("a.node") < F.col("b.node")) & (
+        F.col("a.label") != F.col("b.label")) & may_link(F.col("a.n"), F.col("b.n"), F.col("a.left"), F.col("b.left"))).select(
+        F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     return first.unionByName(verified(rest, sets))
 
 
@@ -324,13 +334,12 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     boundary = choose_boundary(sizes)
     heavy = classes.filter(F.col("n") >= -(-PERCENT * (boundary + 1) // 100))
 
-    # At most 2 * (listed hashes of a document) / FREQUENT hashes can be this frequent.
+    # At most 2 * (mean set size) / FREQUENT hashes can be this frequent.
     frequent = scanned.filter("n < 0").select(F.inline(F.arrays_zip("often", "count"))).groupBy("often").agg(F.sum("count").alias("count")).filter(
         F.col("count") >= FREQUENT / 2 * described.count()).toArrow().column("often").to_numpy()
     frequent = np.sort(frequent.view(np.uint64))
-    n = F.col("n")
-    listed = n - F.ceil(n * PERCENT / 100.0) + 1 + F.floor(n / 8)
-    ranges = ranges_for(heavy.agg(F.sum(F.least(n, listed))).first()[0] or 0)
+    postings, nodes = (x or 0 for x in heavy.agg(F.sum("n"), F.count("*")).first())
+    ranges = ranges_for(postings)
 
     def texts(wanted: DataFrame) -> DataFrame:
         """One text of each class in `wanted`, with the class."""
@@ -339,8 +348,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     def sets(wanted: DataFrame) -> DataFrame:
         return texts(wanted).mapInArrow(whole_sets, "node long, n long, hashes array<long>").dropDuplicates(["node"])
 
-    lists = candidate_lists(cut_lineage(texts(heavy).mapInArrow(partial(pack_listed, ranges, frequent), PACKED)))
-    reached = cut_lineage(classes.join(small(lists.select("node")), "node", "left_semi"))
+    lists = candidate_lists(cut_lineage(texts(heavy).mapInArrow(partial(pack_sets, ranges, frequent), PACKED)), ranges, nodes)
+    reached = cut_lineage(classes.join(small(cut_lineage(lists.select("node").distinct())), "node", "left_semi"))
     edges = heavy_edges(lists, cut_lineage(sets(reached)))
     light = light_edges(cut_lineage(sets(classes.filter(F.col("n") <= boundary))))
     labels = connected_components(edges.unionByName(light))
