@@ -206,11 +206,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     Only the document at the edge of a source's quota is rounded.
     """
-    stored = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    pieces, documents = mix(stored, row="_row", **options)
+    row = "_row"
+    while row.lower() in {c.lower() for c in docs.columns}:
+        row = "_" + row
+    stored = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    pieces, documents = mix(stored, row=row, **options)
     copies = cut_lineage(taken_words(pieces, documents).filter("size > 0").select(
-        F.col("row").alias("_row"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_copies")
-    ).filter("_copies > 0"))
-    return stored.join(small(copies), "_row").withColumn(
-        "_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
-    ).select(*docs.columns)
+        "row", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")
+    ).filter("times > 0"))
+    joined = stored.alias("s").join(small(copies).alias("c"), F.col(f"s.{row}") == F.col("c.row"))
+    repeated = F.explode(F.array_repeat(F.lit(0), F.col("c.times")))
+    return joined.select(*[F.col(f"s.`{c}`") for c in docs.columns], repeated.alias(row)).select(*docs.columns)
