@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,20 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {}
 
 
+def tidy(work: Callable) -> Callable:
+    """`work` over batches that at its end gives freed memory back, as workers live on between tasks."""
+    @wraps(work)
+    def run(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+    return run
+
+
 def rounds(texts: pa.Array, limit: int = ROUND_BYTES) -> Iterator[tuple[int, int]]:
     """Slices [first, last) of `texts`, each of about `limit` bytes or one longer text."""
     length = np.frombuffer(texts.buffers()[1], dtype=np.int32 if pa.types.is_string(texts.type) else np.int64)

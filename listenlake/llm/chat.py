@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from listenlake.llm import bytewords
 from listenlake.llm.workers import send_package
 
 #: The strings the template puts around role and text; the reserved ids follow this order above the vocabulary.
@@ -54,6 +55,7 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+@bytewords.tidy
 def encode_turns(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Escaped role and text of each turn with their ids."""
     made = tokenizer(path)
@@ -128,6 +130,7 @@ def read_turns(ids: np.ndarray, reserved: int, decode) -> list[tuple[str, str]]:
     return [(unescape(parts[k]), unescape(parts[k + 1])) for k in range(0, len(parts), 3)]
 
 
+@bytewords.tidy
 def digest_chats(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the output says: digests of all turns and of the text under the mask."""
     made = tokenizer(path)

@@ -93,6 +93,7 @@ def each_round(batch: pa.RecordBatch):
         yield node, owner, place, length, hashed.view(np.uint64)
 
 
+@bytewords.tidy
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of texts and spans, and hashes that are frequent in a task, with their counts and first places."""
     finder = Frequent()
@@ -116,6 +117,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      names=["texts", "spans", "often", "count", "node", "place"])
 
 
+@bytewords.tidy
 def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed spans, and (node, place, length) of the later places of frequent ones, which are known already."""
     packer = Packer(ranges, exact=True)
@@ -156,6 +158,7 @@ def later_in_range(table: pa.Table) -> pa.Table:
     return pa.table({"node": node[again], "place": place[again].astype(np.int64), "length": length[again].astype(np.int64)})
 
 
+@bytewords.tidy
 def remove_pieces(columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the pieces in `_gone` cut out of their text, and how many pieces and words went.
 

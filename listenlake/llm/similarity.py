@@ -97,6 +97,7 @@ def lists_of(values: np.ndarray, begin: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values.view(np.int64)))
 
 
+@bytewords.tidy
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Size and signature of each document's set; rows of size -1 hold hashes that are frequent in a task, with counts."""
     finder, kind = Frequent(), None
@@ -141,6 +142,7 @@ def own_sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np
         yield column("node")[right], found, begin
 
 
+@bytewords.tidy
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for node, found, begin in own_sets(batch):
@@ -156,6 +158,7 @@ def packed_rows(packed: list[tuple], more: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, *nothing], names=["range", "count", "packed", "node", "n", "hot"][:3 + more])
 
 
+@bytewords.tidy
 def pack_sets(ranges: int, frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed postings (hash, node, size, frequent hashes in the set), and one row per node with frequent hashes (no range)."""
     packer = Packer(ranges)
@@ -218,6 +221,7 @@ def rarest_of_nodes(table: pa.Table) -> pa.Table:
                      "left": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(left))})
 
 
+@bytewords.tidy
 def subsets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (node, n, c, key): every subset of c shingles that a small set may share with a partner."""
     for batch in batches:

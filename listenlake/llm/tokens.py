@@ -132,6 +132,7 @@ def id_type(wide: bool):
     return np.dtype("<u4") if wide else np.dtype("<u2")
 
 
+@bytewords.tidy
 def encode_batches(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = encoder(path)
     packer = zstandard.ZstdCompressor(level=1)
@@ -163,6 +164,7 @@ def join_path(root: str, name: str) -> tuple[fs.FileSystem, str]:
     return system, f"{path.rstrip('/')}/{name}"
 
 
+@bytewords.tidy
 def write_batches(root: str, dictionary: bytes, wide: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Writes one shard file per partition and yields its manifest row; a repeated task writes under another name."""
     from pyspark import TaskContext
@@ -223,6 +225,7 @@ class Shard:
         return np.frombuffer(self.reader.decompress(self.file.read_at(int(self.sizes[position]), int(self.offsets[position]))), dtype=self.type)
 
 
+@bytewords.tidy
 def digest_batches(root: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist()):

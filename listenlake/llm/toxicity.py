@@ -72,6 +72,7 @@ def letters_only(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
     return np.where(some, place[np.minimum(low, len(place) - 1)], start), np.where(some, place[np.maximum(high, 0)] + 1, start)
 
 
+@bytewords.tidy
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of character runs of length ORDER over all words, one sparse row set per task."""
     total = np.zeros(SYMBOLS ** ORDER, dtype=np.int64)
@@ -215,6 +216,7 @@ def restorer(shared) -> Restorer:
     return _restorers[key]
 
 
+@bytewords.tidy
 def count_words(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, documents, toxic documents) of each batch of labelled texts; the empty word counts all documents."""
     reader = restorer(shared)
@@ -238,6 +240,7 @@ def count_words(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                                              names=["word", "docs", "toxic"])
 
 
+@bytewords.tidy
 def score_batches(shared, base: float, weights: dict[str, float], columns: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """`columns` of each row with its score."""
     reader = restorer(shared)

@@ -9,11 +9,17 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch at most: whole texts are long, and workers hold a batch at a time.
+BATCH_ROWS = 1_000
+
 _sent: weakref.WeakSet = weakref.WeakSet()
 
 
 def send_package(spark: SparkSession) -> None:
-    """Once per Spark application, by Spark's own file server."""
+    """Once per Spark application, by Spark's own file server; batches for workers are kept small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     context = spark.sparkContext
     if context in _sent:
         return
