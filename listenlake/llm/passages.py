@@ -30,8 +30,8 @@ from listenlake.session import cut_lineage
 RUN, WORDS, LONG = 3, 20, 16
 #: A word in a long sentence ends a piece if its hash is 0 modulo this.
 CUT = 6
-#: Documents to change are broadcast, with their places, up to so many; ids are numbered so many a task.
-MANY_CHANGED, KEYS_PER_TASK = 20_000, 200_000
+#: Ids that are no numbers are numbered so many a task.
+KEYS_PER_TASK = 200_000
 
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(x) for x in ".!?"]] = True
@@ -117,14 +117,30 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      names=["texts", "spans", "often", "count", "node", "place"])
 
 
+def pieces_of_nodes(node: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each node once, with the pieces its spans cover."""
+    length = length.astype(np.int64)
+    first = np.cumsum(length) - length
+    covered = np.repeat(place.astype(np.int64) - first, length) + np.arange(int(length.sum()))
+    owner = np.repeat(node, length)
+    order = np.lexsort((covered, owner))
+    owner, covered = owner[order], covered[order]
+    new = np.ones(len(owner), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (covered[1:] != covered[:-1])
+    owner, covered = owner[new], covered[new]
+    begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.zeros(0, dtype=np.int64)
+    return pa.array(owner[begin]), pa.ListArray.from_arrays(pa.array(np.concatenate((begin, [len(owner)])), pa.int32()), pa.array(covered, pa.int32()))
+
+
 @bytewords.tidy
 def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed spans, and (node, place, length) of the later places of frequent ones, which are known already."""
+    """Packed spans, and (node, pieces) under the later places of frequent ones, which are known already."""
     packer = Packer(ranges, exact=True)
 
     def rows(packed):
         columns = [pa.array([x[k] for x in packed], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
-        return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(len(packed), pa.int64())] * 3], names=["range", "count", "packed", "node", "place", "length"])
+        nothing = [pa.nulls(len(packed), t) for t in (pa.int64(), pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays([*columns, *nothing], names=["range", "count", "packed", "node", "pieces"])
 
     for batch in batches:
         for node, owner, place, length, hashed in each_round(batch):
@@ -134,9 +150,9 @@ def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: It
             later = hot.copy()
             later[hot] = (first[at[hot], 0] != who[hot]) | (first[at[hot], 1] != place[hot])
             if later.any():
-                yield pa.RecordBatch.from_arrays([*[pa.nulls(int(later.sum()), t) for t in (pa.int64(), pa.int64(), pa.binary())],
-                                                  *[pa.array(x[later].astype(np.int64)) for x in (who, place, length)]],
-                                                 names=["range", "count", "packed", "node", "place", "length"])
+                changed, covered = pieces_of_nodes(who[later], place[later], length[later])
+                nothing = [pa.nulls(len(changed), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*nothing, changed, covered], names=["range", "count", "packed", "node", "pieces"])
             packed = list(packer.add(hashed[~hot], who[~hot], place[~hot], length[~hot]))
             if packed:
                 yield rows(packed)
@@ -146,7 +162,7 @@ def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: It
 
 
 def later_in_range(table: pa.Table) -> pa.Table:
-    """(node, place, length) of all but the first span of each hash of one range."""
+    """(node, pieces) under all but the first span of each hash of one range."""
     low, node, place, length = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 2, exact=True)
     order = np.lexsort((place, node, low))
     low, node, place, length = (x[order] for x in (low, node, place, length))
@@ -155,7 +171,8 @@ def later_in_range(table: pa.Table) -> pa.Table:
     # Rows alike share node and place: what repeats the first place is first as well.
     begin = np.maximum.accumulate(np.where(np.concatenate(([True], low[1:] != low[:-1])), np.arange(len(low)), 0))
     again &= (node != node[begin]) | (place != place[begin])
-    return pa.table({"node": node[again], "place": place[again].astype(np.int64), "length": length[again].astype(np.int64)})
+    changed, covered = pieces_of_nodes(node[again], place[again], length[again])
+    return pa.table({"node": changed, "pieces": covered})
 
 
 @bytewords.tidy
@@ -213,18 +230,17 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
     order = np.argsort(hashes)
     first = np.stack([frequent.column(c).to_numpy()[order] for c in ("node", "place")], axis=1)
     packed = cut_lineage(texts.mapInArrow(partial(pack_spans, ranges_for(whole[1] or 0), hashes[order], first), (
-        "range long, count long, packed binary, node long, place long, length long")))
+        "range long, count long, packed binary, node long, pieces array<int>")))
     later = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
-        later_in_range, "node long, place long, length long").unionByName(packed.filter("range is null").select("node", "place", "length"))
-    gone = later.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list(
-        F.sequence(F.col("place"), F.col("place") + F.col("length") - 1)))).alias("_gone"))
+        later_in_range, "node long, pieces array<int>").unionByName(packed.filter("range is null").select("node", "pieces"))
+    gone = later.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("_gone"))
     columns = [c for c in docs.columns if c.lower() not in ("n_removed", "n_removed_words")]
     source = docs.select(*columns).alias("s")
     if nodes is None:
-        joined = source.join(small(cut_lineage(gone), MANY_CHANGED).alias("g"), F.col(f"s.{doc_id}") == F.col("g.node"), "left")
+        joined = source.join(cut_lineage(gone).alias("g"), F.col(f"s.{doc_id}") == F.col("g.node"), "left")
     else:
         known = cut_lineage(gone.join(small(nodes), "node").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone"))
-        joined = source.join(small(known, MANY_CHANGED).alias("g"), F.col(f"s.{doc_id}").eqNullSafe(F.col("g._id")) & (
+        joined = source.join(known.alias("g"), F.col(f"s.{doc_id}").eqNullSafe(F.col("g._id")) & (
             F.xxhash64("s.text") == F.col("g._row")), "left")
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*columns).dtypes)
     return joined.select("s.*", "g._gone").mapInArrow(partial(remove_pieces, columns), f"{kinds}, n_removed long, n_removed_words long")
