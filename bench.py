@@ -85,8 +85,8 @@ def main() -> int:
 
     took["best_release"] = timed(lambda: run(winners(spark, SF_DIR)))
     took["merge_album_editions"] = timed(lambda: run(merge_map(lk.albums)))
-    listens_a = history.normalize_a(raw.history_a(spark, SF_DIR).filter("part = 'F'"), "me")
-    listens_b = history.normalize_b(raw.history_b(spark, SF_DIR).filter("part = 'O'"), "me")
+    listens_a = history.normalize_a(raw.history_a(spark, SF_DIR), "me")
+    listens_b = history.normalize_b(raw.history_b(spark, SF_DIR), "me")
     target = LakeStore(spark, scratch_path(spark, "import"), buckets=4)
     took["import_library"] = timed(lambda: imports.import_library(
         target, "bench", listens_a, listens_b, raw.metadata(spark, SF_DIR)

@@ -85,11 +85,10 @@ def _(spark, sf_dir):
 
 @check("metadata_candidates_by_isrc", f"""{raw.SQL}
 , codes as (select distinct isrc from norm_b where isrc is not null)
-select isrc, spotify_id, search_rank from codes join meta using (isrc)
-qualify row_number() over (partition by isrc order by search_rank) <= 3""")
+select isrc, spotify_id, search_rank from codes join meta using (isrc)""")
 def _(spark, sf_dir):
     wanted = imports.first_seen(history.normalize_b(raw.history_b(spark, sf_dir)), "isrc")
-    return meta_source.candidates_by_isrc(wanted, raw.metadata(spark, sf_dir), limit=3).select(
+    return meta_source.candidates_by_isrc(wanted, raw.metadata(spark, sf_dir)).select(
         "isrc", "spotify_id", "search_rank"
     )
 
@@ -203,7 +202,7 @@ def _(spark, sf_dir):
 
 IMPORTED = f"""{raw.SQL}
 , ids as (
-  select spotify_id, min((file, pos)) as seq from norm_a where part = 'F' and spotify_id is not null
+  select spotify_id, min((file, pos)) as seq from norm_a where spotify_id is not null
   group by spotify_id),
 cand_a as (select m.*, i.seq from ids i join meta m using (spotify_id)),
 win_a as (
@@ -214,13 +213,12 @@ alb_a as (
          arg_min(album_type, first_seq) as album_type, (0, min(first_seq)) as seq
   from win_a group by album_id),
 known as (select w.isrc, a.album_type from win_a w join alb_a a on a.id = w.album_id),
-codes as (select isrc, min((file, pos)) as seq from norm_b where part = 'O' and isrc is not null group by isrc),
+codes as (select isrc, min((file, pos)) as seq from norm_b where isrc is not null group by isrc),
 cand_b as (
   select m.*, c.seq as first_seq, k.isrc is not null as is_upgrade,
          case k.album_type when 'album' then 3 when 'compilation' then 2 when 'single' then 1 else 0 end as old_score
   from codes c left join known k on k.isrc = c.isrc join meta m on m.isrc = c.isrc
-  where k.album_type is distinct from 'album'
-  qualify row_number() over (partition by m.isrc order by search_rank) <= 4),
+  where k.album_type is distinct from 'album'),
 win_b as (
   select * from (
     select * from cand_b
@@ -240,9 +238,9 @@ in_albums as (
 {merge_views('in_albums').strip()},
 in_plays as (
   select m.isrc as track_isrc, 'Spotify' as source, ms_played
-  from norm_a left join meta m using (spotify_id) where part = 'F' and spotify_id is not null
+  from norm_a left join meta m using (spotify_id) where spotify_id is not null
   union all
-  select isrc, 'Deezer', ms_played from norm_b where part = 'O' and isrc in (select isrc from in_tracks))
+  select isrc, 'Deezer', ms_played from norm_b where isrc in (select isrc from in_tracks))
 select t.isrc, title, artist_id, coalesce(master_id, t.album_id) as album_id, duration_ms, spotify_id,
        (select count(*) from in_albums) - (select count(*) from merges) as n_albums,
        count(p.track_isrc) filter (source = 'Spotify') as plays_a,
@@ -252,16 +250,15 @@ from in_tracks t left join merges m on m.album_id = t.album_id left join in_play
 group by all"""
 
 
-def _normalized(spark, sf_dir, part_a: str, part_b: str):
-    a = raw.history_a(spark, sf_dir).filter(F.col("part") == part_a)
-    b = raw.history_b(spark, sf_dir).filter(F.col("part") == part_b)
-    return history.normalize_a(a, "me"), history.normalize_b(b, "me")
+def _exports(spark, sf_dir):
+    """Both platforms' exports, whole."""
+    return history.normalize_a(raw.history_a(spark, sf_dir), "me"), history.normalize_b(raw.history_b(spark, sf_dir), "me")
 
 
 @check("import_library", IMPORTED, recursive=True)
 def _(spark, sf_dir):
     store = _new_store(spark)
-    a, b = _normalized(spark, sf_dir, "F", "O")
+    a, b = _exports(spark, sf_dir)
     lk = imports.import_library(store, "both", a, b, raw.metadata(spark, sf_dir))
     played = lk.plays.groupBy(F.col("track_isrc").alias("isrc")).agg(
         F.count_if(F.col("source") == "Spotify").alias("plays_a"),
@@ -280,15 +277,17 @@ def _(spark, sf_dir):
   select m.isrc as track_isrc, 'Spotify' as source, ms_played
   from norm_a left join meta m using (spotify_id) where spotify_id is not null
   union all
-  select isrc, 'Deezer', ms_played from norm_b where part = 'O' and isrc is not null)
+  select isrc, 'Deezer', ms_played from norm_b where isrc is not null)
 select track_isrc, source, count(*) as plays, cast(sum(ms_played) as bigint) as total_ms
 from in_plays group by track_isrc, source""")
 def _(spark, sf_dir):
     # The later import resolves ids of the earlier one too; doing it again adds nothing.
     store, found = _new_store(spark), raw.metadata(spark, sf_dir)
-    imports.import_library(store, "first", _normalized(spark, sf_dir, "F", "O")[0], None, found)
+    finished = F.col("part") == "F"
+    lines, b = raw.history_a(spark, sf_dir), _exports(spark, sf_dir)[1]
+    imports.import_library(store, "first", history.normalize_a(lines.filter(finished), "me"), None, found)
     for _ in range(2):
-        lk = imports.import_library(store, "second", *_normalized(spark, sf_dir, "O", "O"), found)
+        lk = imports.import_library(store, "second", history.normalize_a(lines.filter(~finished), "me"), b, found)
     return lk.plays.groupBy("track_isrc", "source").agg(
         F.count("*").alias("plays"), F.sum("ms_played").alias("total_ms")
     )

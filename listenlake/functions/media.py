@@ -16,7 +16,8 @@ def release_score(album_type: Column) -> Column:
 
 
 def seconds_to_ms(seconds: Column) -> Column:
-    return (seconds * 1000).cast("long")
+    """Rounded to whole ms, so that 1.001 s is 1001 ms."""
+    return F.round(seconds * 1000).cast("long")
 
 
 def main_artist(artists: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from listenlake.lake import Lake
+from listenlake.session import cut_lineage
 
 
 def all_artists(lake: Lake) -> DataFrame:
@@ -48,26 +49,31 @@ def display_names(lake: Lake) -> DataFrame:
     )
 
 
-def with_display_names(lake: Lake, ranked: DataFrame, artist_display: str = "all") -> DataFrame:
+def with_display_names(lake: Lake, ranked: DataFrame, artist_display: str = "all", repeated: bool = False) -> DataFrame:
     """Add `artist` to rows that carry `isrc` and `artist_id`; no credits give null.
 
-    Only the credits of these rows are looked up.  Rows keep all their columns
-    on both ways into the union, so that both read one exchange and the list
-    behind it is computed once.  `artist_display="main"` names the main artist only.
+    Only the credits of these rows are looked up, once for each recording, and joined back.  A list that
+    may hold a recording many times (`repeated`) is stored first: a hit that is in the lists of all
+    libraries is one row where its credits meet, and Spark may split or broadcast the sides of the last
+    join.  Any other list has a recording once, and both ways into the join read one exchange.
+    `artist_display="main"` names the main artist only.
     """
     if artist_display == "main":
         names = lake.artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist"))
         return ranked.join(names, "artist_id", "left")
-    payload = ranked.columns
-    ranked = ranked.repartition("isrc")
+    ranked = cut_lineage(ranked) if repeated else ranked.repartition("isrc")
+    # All columns stay on both ways, so that the exchange below is one.
+    listed = ranked.select("isrc", "artist_id").distinct() if repeated else ranked
     features = lake.track_features.select(
         F.col("track_isrc").alias("isrc"), F.col("artist_id").alias("credit_id")
     )
-    credits = ranked.select(*payload, F.lit(0).alias("ord"), F.col("artist_id").alias("credit_id")).unionByName(
-        ranked.join(features, "isrc").select(*payload, F.lit(1).alias("ord"), "credit_id")
+    payload = listed.columns
+    credits = listed.select(*payload, F.lit(0).alias("ord"), F.col("artist_id").alias("credit_id")).unionByName(
+        listed.join(features, "isrc").select(*payload, F.lit(1).alias("ord"), "credit_id")
     )
     names = lake.artists.select(F.col("id").alias("credit_id"), F.col("name").alias("credit_name"))
     credit = F.struct("ord", "credit_id", F.col("credit_name").alias("name"))
-    return credits.join(names, "credit_id", "left").groupBy(*payload).agg(
+    shown = credits.join(names, "credit_id", "left").groupBy(*payload).agg(
         join_names(F.when(F.col("credit_name").isNotNull(), credit)).alias("artist")
     )
+    return ranked.join(shown.drop("artist_id"), "isrc", "left") if repeated else shown

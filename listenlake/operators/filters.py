@@ -61,9 +61,12 @@ def of_library(plays: DataFrame, library: str | None, buckets: int | None = None
     return plays
 
 
-def long_enough(history: DataFrame, strict: bool) -> DataFrame:
-    """Drop short listens: platform A keeps exactly 30 s, platform B (strict) does not."""
-    listened = F.col("ms_played")
+def long_enough(history: DataFrame, strict: bool, listened: Column | None = None) -> DataFrame:
+    """Drop short listens: platform A keeps exactly 30 s, platform B (strict) does not.
+
+    `listened` is the time in ms, `ms_played` by default.
+    """
+    listened = F.col("ms_played") if listened is None else listened
     return history.filter(listened > MIN_LISTEN_MS if strict else listened >= MIN_LISTEN_MS)
 
 

@@ -33,9 +33,16 @@ def per_track(plays: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def rollup(lake: Lake, start=None, end=None, library: str | None = None, per_library: bool = False) -> DataFrame:
-    """Per-track totals of the selected plays."""
+def rollup(lake: Lake, start=None, end=None, library: str | None = None, per_library: bool = False,
+           only: DataFrame | None = None) -> DataFrame:
+    """Per-track totals of the selected plays.
+
+    `only` (track_isrc) keeps the plays of these recordings, before anything is summed: a page on
+    one artist then shuffles that artist's plays alone.
+    """
     plays = in_range(of_library(lake.plays, library, lake.buckets), start, end)
+    if only is not None:
+        plays = plays.join(only.select("track_isrc"), "track_isrc", "left_semi")
     return per_track(plays, ["library"] if per_library else [])
 
 

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from listenlake.session import cut_lineage
+
 
 def metric(param: int) -> str:
     """1 orders by plays, anything else by time."""
@@ -39,15 +41,40 @@ def top(df: DataFrame, by: str, keys: Sequence[str], limit: int, per_library: bo
     return top_k(df, by, keys, limit)
 
 
+#: Lists of up to so many rows are numbered in one task.
+SHORT_LIST = 10_000
+
+
 def with_rank(df: DataFrame, by: str, keys: Sequence[str], limit: int, group: str | None = None) -> DataFrame:
-    """Number rows already cut to `limit`, per `group` if one is given.
+    """Number the rows of a list cut to `limit` (negative: all), per `group` if one is given.
 
-    An unlimited list gets no numbers: numbering it would need one task.
+    Only a list known to be short is numbered in one task; any other by `number_rows`.
     """
-    if limit < 0:
-        return df.withColumn("rank", F.lit(None).cast("int"))
-    window = Window.partitionBy(group) if group else Window.partitionBy()
-    return df.withColumn("rank", F.row_number().over(window.orderBy(F.desc(by), *keys)))
+    order = [F.desc(by), *keys]
+    if group:
+        return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    if 0 <= limit <= SHORT_LIST:
+        return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    return number_rows(df, order).withColumn("rank", F.col("rank").cast("int"))
+
+
+def number_rows(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+    """Add `rank`, the place of each row in `order`, from 1.
+
+    The sorted parts are stored; a row's place is its place in its part plus the rows of the
+    parts before.  One row per part is all that meets in a task.
+    """
+    # A stored row number holds the part in its upper bits and the place in its lower 33.
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    stored = cut_lineage(df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_at") - F.shiftleft("_part", 33)
+    return stored.withColumn("_part", part).join(offsets, "_part").withColumn(
+        "rank", place + F.col("_before") + 1).drop("_at", "_part", "_before")
 
 
 def medal(rank: Column) -> Column:

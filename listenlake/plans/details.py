@@ -107,7 +107,9 @@ def album_detail(lake: Lake, name: str, limit: int = 50, param: int = 0,
 def search_all(lake: Lake, query: str, limit: int = 10, library: str | None = None,
                played_only: bool = False) -> DataFrame:
     """Tracks, artists and albums that match, `limit` of each."""
-    args = (lake, query, limit, library, played_only)
+    # All three parts need these rows; writing them down keeps it at one scan of plays.
+    played = cut_lineage(search.played_of_found(lake, query, library))
+    args = (lake, query, limit, library, played_only, played)
     return _stack([
         _section(with_rank(search.search_tracks_keyed(*args), "play_count", ["isrc"], limit), "tracks"),
         _section(with_rank(search.search_artists_keyed(*args), "play_count", ["artist_id"], limit), "artists"),

@@ -15,7 +15,7 @@ from listenlake.operators.releases import (
 from listenlake.schemas import EDITION_WORDS, SOURCE_A, SOURCE_B
 from listenlake.session import cut_lineage
 from listenlake.sources.metadata import candidates_by_id, candidates_by_isrc
-from listenlake.sources.store import LakeStore
+from listenlake.sources.store import LakeStore, VersionTaken
 
 
 def first_seen(history: DataFrame, key: str, batch: int = 0) -> DataFrame:
@@ -134,22 +134,29 @@ def blend_exports(lake: Lake, history_a: DataFrame | None, history_b: DataFrame
 
 def import_library(store: LakeStore, batch: str, history_a: DataFrame | None, history_b: DataFrame | None,
                    metadata: DataFrame, dedupe: bool = False,
-                   vocabulary: Sequence[str] = EDITION_WORDS) -> Lake:
+                   vocabulary: Sequence[str] = EDITION_WORDS, library: str | None = None, tries: int = 5) -> Lake:
     """The import job, also for more exports into a lake that has some.
 
-    `batch` names the import: a finished one is not repeated, and one that
-    broke off is written over when it runs again.  The catalog version comes
-    last; until then readers join the new plays to the old catalog.
+    `batch` names the import, and with `library` that listener's import of the name: a finished one is not
+    repeated, and one that broke off is written over when it runs again.  Plays and catalog are listed
+    together.  If another import finishes meanwhile, this one starts again on its catalog.
     """
-    version = store.version()
-    if version is None:
-        lake, number = store.empty(), 0
-    elif store.finished(batch):
-        return store.read()
-    else:
-        # Plays of earlier imports stay where they are; only the new ones are written.
-        lake, number = store.read().with_tables(plays=store.empty().plays), version + 1
-    blended = blend_exports(lake, history_a, history_b, metadata, number, vocabulary)
-    store.append_plays(blended.plays, batch, dedupe)
-    store.write_catalog(blended, batch)
-    return store.read()
+    key = batch if library is None else f"{library}/{batch}"
+    for left in reversed(range(tries)):
+        version = store.version()
+        if version is None:
+            lake, number = store.empty(), 0
+        elif store.finished(key):
+            return store.read()
+        else:
+            # Plays of earlier imports stay where they are; only the new ones are written.
+            lake, number = store.read().with_tables(plays=store.empty().plays), version + 1
+        blended = blend_exports(lake, history_a, history_b, metadata, number, vocabulary)
+        attempt = store.append_plays(blended.plays, key, dedupe, commit=False)
+        try:
+            store.write_catalog(blended, key, attempt, version)
+            return store.read()
+        except VersionTaken:
+            if not left:
+                raise
+    raise ValueError("an import needs at least one try")

@@ -67,7 +67,7 @@ def top_tracks_keyed(lake: Lake, limit: int = 10, param: int = 0, start=None, en
         "track_isrc", "isrc"
     )
     ranked = top(rolled.join(tracks, "isrc"), metric(param), ["isrc"], limit, per_library)
-    return with_display_names(lake, ranked, artist_display)
+    return with_display_names(lake, ranked, artist_display, repeated=per_library)
 
 
 def top_tracks(lake: Lake, limit: int = 10, param: int = 0, start=None, end=None,
@@ -123,13 +123,13 @@ def top_albums(lake: Lake, limit: int = 10, param: int = 0, start=None, end=None
 
 def played_by_artist(lake: Lake, artist_id: str, start=None, end=None, library: str | None = None) -> DataFrame:
     """Per-track totals of the tracks the artist is credited on."""
-    return rollup(lake, start, end, library).join(tracks_of_artist(lake, artist_id), "track_isrc")
+    return rollup(lake, start, end, library, only=tracks_of_artist(lake, artist_id))
 
 
 def played_on_album(lake: Lake, album_id: str, library: str | None = None) -> DataFrame:
     """Per-track totals of the tracks on the album."""
     own = lake.tracks.filter(F.col("album_id") == album_id).select(F.col("isrc").alias("track_isrc"))
-    return rollup(lake, library=library).join(own, "track_isrc")
+    return rollup(lake, library=library, only=own)
 
 
 def artist_top_tracks_keyed(lake: Lake, artist_id: str, limit: int = 10, param: int = 0, start=None,

@@ -39,8 +39,12 @@ def feature_matches(lake: Lake, query: str) -> DataFrame:
     ).distinct()
 
 
-def _with_plays(found: DataFrame, lake: Lake, key: str, library: str | None, played_only: bool) -> DataFrame:
-    rolled = rollup(lake, library=library).select(
+def _with_plays(found: DataFrame, lake: Lake, key: str, library: str | None, played_only: bool,
+                played: DataFrame | None = None) -> DataFrame:
+    """`found` with its totals; only plays of what was found are summed, unless `played` has them already."""
+    if played is None:
+        played = rollup(lake, library=library, only=found.select(F.col(key).alias("track_isrc")).distinct())
+    rolled = played.select(
         F.col("track_isrc").alias(key), F.col("total_ms").alias("ms"), F.col("play_count").alias("plays")
     )
     return found.join(rolled, key, "inner" if played_only else "left").select(
@@ -50,9 +54,8 @@ def _with_plays(found: DataFrame, lake: Lake, key: str, library: str | None, pla
     )
 
 
-def search_tracks_keyed(lake: Lake, query: str, limit: int = 10, library: str | None = None,
-                        played_only: bool = False) -> DataFrame:
-    """Title, display string or album matches.
+def found_tracks(lake: Lake, query: str) -> DataFrame:
+    """(isrc, name, artist_id) of title, display string or album matches.
 
     A feature whose name matches is part of the display string, so that test
     is covered by it.
@@ -60,7 +63,7 @@ def search_tracks_keyed(lake: Lake, query: str, limit: int = 10, library: str |
     albums = lake.albums.select(F.col("id").alias("album_id"), F.col("name").alias("album"))
     by_artist = _tracks_by_artist(lake, query).withColumn("by_artist", F.lit(True))
     tracks = lake.tracks.select("isrc", F.col("title").alias("name"), "artist_id", "album_id")
-    found = (
+    return (
         tracks.join(albums, "album_id", "left").join(by_artist, "isrc", "left")
         .filter(
             matches(F.col("name"), query)
@@ -69,23 +72,31 @@ def search_tracks_keyed(lake: Lake, query: str, limit: int = 10, library: str |
         )
         .select("isrc", "name", "artist_id")
     )
-    ranked = top(_with_plays(found, lake, "isrc", library, played_only), "play_count", ["isrc"], limit)
-    return with_display_names(lake, ranked)
 
 
-def search_artists_keyed(lake: Lake, query: str, limit: int = 10, library: str | None = None,
-                         played_only: bool = False) -> DataFrame:
+def found_artists(lake: Lake, query: str) -> DataFrame:
+    """(artist_id, name, track_isrc) of the artists that match, with what they are credited on."""
     found = lake.artists.filter(matches(F.col("name"), query)).select(F.col("id").alias("artist_id"), "name")
-    credited = found.join(all_artists(lake), "artist_id", "left")
+    return found.join(all_artists(lake), "artist_id", "left")
+
+
+def search_tracks_keyed(lake: Lake, query: str, limit: int = 10, library: str | None = None,
+                        played_only: bool = False, played: DataFrame | None = None) -> DataFrame:
+    found = _with_plays(found_tracks(lake, query), lake, "isrc", library, played_only, played)
+    return with_display_names(lake, top(found, "play_count", ["isrc"], limit))
+
+
+def search_artists_keyed(lake: Lake, query: str, limit: int = 10, library: str | None = None,
+                         played_only: bool = False, played: DataFrame | None = None) -> DataFrame:
     per_artist = (
-        _with_plays(credited, lake, "track_isrc", library, played_only)
+        _with_plays(found_artists(lake, query), lake, "track_isrc", library, played_only, played)
         .groupBy("artist_id", "name").agg(*totals())
     )
     return top(per_artist, "play_count", ["artist_id"], limit)
 
 
-def search_albums_keyed(lake: Lake, query: str, limit: int = 10, library: str | None = None,
-                        played_only: bool = False) -> DataFrame:
+def found_albums(lake: Lake, query: str) -> DataFrame:
+    """(album_id, name, artist, track_isrc) of the albums that match, with their tracks."""
     artists = lake.artists.select(F.col("id").alias("artist_id"), F.col("name").alias("artist"))
     found = (
         lake.albums.select(F.col("id").alias("album_id"), "name", "artist_id")
@@ -94,13 +105,25 @@ def search_albums_keyed(lake: Lake, query: str, limit: int = 10, library: str |
         .select("album_id", "name", "artist")
     )
     tracks = lake.tracks.select(F.col("isrc").alias("track_isrc"), "album_id")
+    return found.join(tracks, "album_id", "left").select("album_id", "name", "artist", "track_isrc")
+
+
+def search_albums_keyed(lake: Lake, query: str, limit: int = 10, library: str | None = None,
+                        played_only: bool = False, played: DataFrame | None = None) -> DataFrame:
     per_album = (
-        _with_plays(found.join(tracks, "album_id", "left"), lake, "track_isrc", library, played_only)
+        _with_plays(found_albums(lake, query), lake, "track_isrc", library, played_only, played)
         .groupBy("album_id", "name", "artist").agg(*totals())
     )
     return top(per_album, "play_count", ["album_id"], limit)
 
 
+def played_of_found(lake: Lake, query: str, library: str | None = None) -> DataFrame:
+    """Per-track totals of everything the three searches find, in one pass over plays."""
+    found = found_tracks(lake, query).select(F.col("isrc").alias("track_isrc")).unionByName(
+        found_artists(lake, query).select("track_isrc")).unionByName(found_albums(lake, query).select("track_isrc"))
+    return rollup(lake, library=library, only=found.distinct())
+
+
 def _finish(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumn("listening_time", listening_time(F.col("total_ms"))).select(
         *columns, "total_ms", "play_count", "listening_time"

@@ -34,9 +34,6 @@ WORKBOOK_SHEET = "10_listeningHistory"
 # Track pages share this many characters before the id starts.
 TRACK_URL_PREFIX_LENGTH = 31
 
-# Candidates kept per recording code.
-MAX_CANDIDATES = 4
-
 # --- Stored tables ----------------------------------------------------------
 # `seq` is the order of arrival.  Anything that sorts will do: a number, or a
 # struct of (batch, file, position).

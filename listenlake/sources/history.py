@@ -9,7 +9,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -105,7 +105,20 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
     if "xl/sharedStrings.xml" not in book.namelist():
         return []
     table = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
-    return ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in table.iter(f"{_MAIN}si")]
+    # Text of the item and of its runs; phonetic runs repeat it as a reading.
+    return ["".join(t.text or "" for x in item if x.tag != f"{_MAIN}rPh" for t in x.iter(f"{_MAIN}t"))
+            for item in table.iter(f"{_MAIN}si")]
+
+
+def _column(cell: ElementTree.Element, place: int) -> str:
+    """Letters of a cell's column: from its reference, or by its place where it has none."""
+    if cell.get("r"):
+        return re.sub(r"\d+$", "", cell.get("r"))
+    letters, place = "", place + 1
+    while place:
+        place, rest = divmod(place - 1, 26)
+        letters = chr(65 + rest) + letters
+    return letters
 
 
 def _cell(cell: ElementTree.Element, shared: list[str]) -> str | None:
@@ -125,7 +138,7 @@ def _sheet_rows(content: bytes, sheet: str) -> Iterator[dict[str, str | None]]:
         with book.open(_sheet_part(book, sheet)) as part:
             for _, row in ElementTree.iterparse(part):
                 if row.tag == f"{_MAIN}row":
-                    yield {re.sub(r"\d+$", "", c.get("r")): _cell(c, shared) for c in row.iter(f"{_MAIN}c")}
+                    yield {_column(c, k): _cell(c, shared) for k, c in enumerate(row.iter(f"{_MAIN}c"))}
                     row.clear()
 
 
@@ -156,17 +169,18 @@ def unpack_workbooks(files: DataFrame, sheet: str = WORKBOOK_SHEET) -> DataFrame
     return files.select("path", "content").mapInPandas(unpack, SHEET_ROWS)
 
 
-def read_history_workbook(spark: SparkSession, path: str | list[str], name_glob: str = "*.xlsx") -> DataFrame:
+def read_history_workbook(spark: SparkSession, path: str | list[str], name_glob: str = "*.[xX][lL][sS][xX]") -> DataFrame:
     """The history sheet of every workbook in a folder."""
     return unpack_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", name_glob).load(path))
 
 
 def normalize_b(history: DataFrame, library: Column | str = "") -> DataFrame:
-    """Songs of more than 30 s, times in ms."""
+    """Songs of more than 30 s, times in ms, rounded after the filter has seen the seconds."""
     renamed = history.withColumnsRenamed({
         "Artist": "artist", "Album Title": "album", "Song Title": "title", "ISRC": "isrc",
-    }).withColumn("ms_played", seconds_to_ms(F.col("Listening Time")))
-    return long_enough(renamed, strict=True).select(
+    })
+    long_ = long_enough(renamed, strict=True, listened=F.col("Listening Time") * 1000)
+    return long_.withColumn("ms_played", seconds_to_ms(F.col("Listening Time"))).select(
         _library(library).alias("library"),
         "isrc", "ms_played", "artist", "title", "album",
         date_part(F.col("Date")).alias("date"), time_part(F.col("Date")).alias("time"),
@@ -184,12 +198,15 @@ def is_history_json(name: Column) -> Column:
     )
 
 
-def stage_input_files(files: DataFrame) -> DataFrame:
-    """Of (path, name, length), the files an import takes, one per name and length."""
+def stage_input_files(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Of (path, name, length), the files an import takes, one per name and length.
+
+    `by` names further columns, such as the listener, whose files are kept apart.
+    """
     name = F.col("name")
     workbook = ~name.startswith(HIDDEN_FILE_PREFIX) & F.lower(name).endswith(".xlsx")
     taken = files.filter(workbook | is_history_json(name))
-    return taken.groupBy("name", "length").agg(F.min("path").alias("path")).select("path", "name", "length")
+    return taken.groupBy(*by, "name", "length").agg(F.min("path").alias("path")).select(*by, "path", "name", "length")
 
 
 def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from listenlake.operators.releases import flatten_metadata
-from listenlake.schemas import MAX_CANDIDATES, TRACK_METADATA
+from listenlake.schemas import TRACK_METADATA
 
 
 def read_track_metadata(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
@@ -21,11 +21,6 @@ def candidates_by_id(wanted: DataFrame, metadata: DataFrame) -> DataFrame:
     return asked.join(flatten_metadata(metadata), "requested_id")
 
 
-def candidates_by_isrc(wanted: DataFrame, metadata: DataFrame, limit: int = MAX_CANDIDATES) -> DataFrame:
-    """The first `limit` search results of (isrc, seq) rows, in search order.
-
-    Spark cuts each map task to `limit` rows per code before the shuffle.
-    """
-    ranked = flatten_metadata(metadata).join(wanted.select("isrc", "seq"), "isrc")
-    place = F.row_number().over(Window.partitionBy("isrc").orderBy("search_rank", "spotify_id"))
-    return ranked.withColumn("place", place).filter(F.col("place") <= limit).drop("place")
+def candidates_by_isrc(wanted: DataFrame, metadata: DataFrame) -> DataFrame:
+    """All search results of (isrc, seq) rows; `search_rank` and `spotify_id` give their order."""
+    return flatten_metadata(metadata).join(wanted.select("isrc", "seq"), "isrc")

@@ -1,16 +1,22 @@
 """The stored lake: versioned catalog tables and an append-only play table.
 
-    <base>/catalog/version=<n>/<table>   one full catalog per import
+    <base>/catalog/<folder>/<table>      one full catalog per import
     <base>/plays/year=/library_bucket=/batch=
-    <base>/versions                      one row per finished import, with the bucket count
+    <base>/versions                      one row per finished import: catalog folder, bucket count, plays' attempt
+    <base>/claims/<n>                    made once for each version, so that two imports cannot both take it
 
-A reader takes the newest version that `versions` lists, so a half-written
-catalog is never seen.  Plays are spread by year and a hash of the library, not
+A reader takes the newest version that `versions` lists, and the plays of listed
+attempts, the newest of each batch: neither half-written catalogs nor plays of
+broken-off or replaced imports are seen.  Plays are spread by year and a hash of the library, not
 by library: millions of listeners would be millions of folders.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
@@ -22,7 +28,18 @@ VERSIONS = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("batch", T.StringType()),
     T.StructField("buckets", T.IntegerType()),
+    T.StructField("folder", T.StringType()),
+    T.StructField("attempt", T.StringType()),
+    T.StructField("at", T.LongType()),
 ])
+#: A claim that no listed version follows within so many seconds is left over from a lost import.
+CLAIM_SECONDS = 600
+
+
+class VersionTaken(RuntimeError):
+    """Another import has finished on the catalog this one started from."""
+
+
 STORED_PLAYS = T.StructType([
     *PLAYS.fields,
     T.StructField("year", T.IntegerType()),
@@ -54,8 +71,11 @@ class LakeStore:
         """Write empty tables unless the lake exists already."""
         if self.version() is None:
             lake = self.empty()
-            self.append_plays(lake.plays, "create")
-            self.write_catalog(lake, "create")
+            attempt = self.append_plays(lake.plays, "create", commit=False)
+            try:
+                self.write_catalog(lake, "create", attempt, None)
+            except VersionTaken:
+                pass  # someone else has just made it
         return self
 
     def _newest(self) -> Row | None:
@@ -65,7 +85,8 @@ class LakeStore:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
-        return versions.agg(F.max(F.struct("version", "buckets")).alias("newest")).first()["newest"]
+        listed = versions.filter("folder is not null")
+        return listed.agg(F.max(F.struct("version", "buckets", "folder")).alias("newest")).first()["newest"]
 
     def version(self) -> int | None:
         """The newest finished version, None for no lake."""
@@ -75,39 +96,73 @@ class LakeStore:
     def finished(self, batch: str) -> bool:
         """Whether an import with this name has been completed."""
         versions = self.spark.read.schema(VERSIONS).parquet(f"{self.base}/versions")
-        return not versions.filter(F.col("batch") == batch).isEmpty()
+        return not versions.filter((F.col("batch") == batch) & F.col("folder").isNotNull()).isEmpty()
 
     def read(self, library: str | None = None) -> Lake:
         """Handles on the newest tables; `library` prunes plays to one listener."""
-        catalog = f"{self.base}/catalog/version={self.version()}"
+        catalog = f"{self.base}/catalog/{self._newest()['folder']}"
         tables = {
             name: self.spark.read.schema(schema).parquet(f"{catalog}/{name}")
             for name, schema in CATALOG_TABLES.items()
         }
-        plays = self.spark.read.schema(STORED_PLAYS).parquet(f"{self.base}/plays")
+        plays = self.spark.read.schema(STORED_PLAYS).parquet(f"{self.base}/plays").join(self._attempts(), "batch", "left_semi")
         return Lake(plays=of_library(plays, library, self.buckets), buckets=self.buckets, **tables)
 
-    def write_catalog(self, lake: Lake, batch: str) -> int:
-        """Write all catalog tables beside the old ones, then list the new version."""
-        version = self.version()
-        version = 0 if version is None else version + 1
+    def _attempts(self) -> DataFrame:
+        """(batch): the folder name of the plays that count for each batch."""
+        versions = self.spark.read.schema(VERSIONS).parquet(f"{self.base}/versions").filter("attempt is not null")
+        return versions.groupBy("batch").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt")).select(
+            F.col("attempt").alias("batch"))
+
+    def _list(self, version: int, batch: str, folder: str | None, attempt: str | None) -> None:
+        row = (version, batch, self.buckets, folder, attempt, time.time_ns() // 1000)
+        self.spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.base}/versions")
+
+    def _claim(self, version: int) -> None:
+        """Make the version's claim, which only one import can."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/claims/{version}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if files.exists(path) and time.time() - files.getFileStatus(path).getModificationTime() / 1000 > CLAIM_SECONDS:
+            files.delete(path, False)
+        try:
+            files.create(path, False).close()
+        except Py4JJavaError as error:
+            raise VersionTaken(f"version {version} of {self.base} is taken") from error
+
+    def write_catalog(self, lake: Lake, batch: str, attempt: str | None = None, based_on: int | None = -1) -> int:
+        """Write all catalog tables beside the old ones, then list the new version.
+
+        `based_on` is the version `lake` was made from (by default the newest): if another import has
+        finished since, or is about to, this raises VersionTaken and lists nothing.  `attempt` lists the
+        plays written with `append_plays(…, commit=False)` at the same moment.
+        """
+        based_on = self.version() if based_on == -1 else based_on
+        version = 0 if based_on is None else based_on + 1
+        folder = f"version={version}-{uuid.uuid4().hex}"
         for name, schema in CATALOG_TABLES.items():
             table = getattr(lake, name)
             if table is None:
                 table = self.spark.createDataFrame([], schema)
-            table.write.mode("overwrite").parquet(f"{self.base}/catalog/version={version}/{name}")
-        listed = self.spark.createDataFrame([(version, batch, self.buckets)], VERSIONS)
-        listed.coalesce(1).write.mode("append").parquet(f"{self.base}/versions")
+            table.write.parquet(f"{self.base}/catalog/{folder}/{name}")
+        if self.version() != based_on:
+            raise VersionTaken(f"version {version} of {self.base} is taken")
+        self._claim(version)
+        self._list(version, batch, folder, attempt)
         return version
 
-    def append_plays(self, plays: DataFrame, batch: str, dedupe: bool = False) -> None:
-        """Add plays under the name `batch`; doing it again replaces that batch only.
+    def append_plays(self, plays: DataFrame, batch: str, dedupe: bool = False, commit: bool = True) -> str:
+        """Add plays under the name `batch`; doing it again replaces all of that batch, and only that.
+
+        Each try has a folder name of its own, which is returned; readers see it once it is listed, here
+        or (`commit=False`) with the catalog.
 
         Spark rebalances folders to even file sizes, so a folder that holds a
         third of the plays is written by many tasks.  Rows sort by library
         inside a file, which lets readers skip pages.  `dedupe` drops plays
         alike in every column.
         """
+        attempt = uuid.uuid4().hex
         if dedupe:
             plays = plays.select(*PLAYS.fieldNames()).distinct()
         (
@@ -115,13 +170,17 @@ class LakeStore:
             .withColumns({
                 "year": F.year("played_at_date"),
                 "library_bucket": library_bucket(F.col("library"), self.buckets),
-                "batch": F.lit(batch),
+                "batch": F.lit(attempt),
             })
             .hint("rebalance", "year", "library_bucket")
             .sortWithinPartitions("year", "library_bucket", "library", "played_at_date")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .write.mode("append")
             .partitionBy("year", "library_bucket", "batch").parquet(f"{self.base}/plays")
         )
+        if commit:
+            version = self.version()
+            self._list(-1 if version is None else version, batch, None, attempt)
+        return attempt
 
 
 def write_records(report: DataFrame, path: str) -> None:

@@ -111,10 +111,10 @@ def test_platform_a_never_upgrades_and_b_does_when_strictly_better(metadata, lis
     assert rows(same.tracks.filter("isrc = 'I1'"), "album_id") == [("full",)]
 
 
-def test_only_four_candidates_are_looked_at(metadata, listens_b, empty):
+def test_every_candidate_is_looked_at(metadata, listens_b, empty):
     found = metadata(*[track(f"r{i}", "I1", f"al{i}", "single", n=i, rank=i) for i in range(1, 6)])
     lake = imports.import_b(empty, listens_b("I1"), found)
-    assert rows(lake.tracks, "spotify_id") == [("r4",)]
+    assert rows(lake.tracks, "spotify_id") == [("r5",)]
 
 
 def test_editions_merge_and_totals_stay(metadata, listens_a, store):

@@ -100,12 +100,38 @@ def test_album_detail(small):
     assert [(r["rank"], r["name"]) for r in got if r["section"] == "tracks"] == [(1, "One"), (2, "Two")]
 
 
-@pytest.mark.parametrize("limit, ranks", [(2, [1, 2]), (-1, [None, None, None, None])])
+@pytest.mark.parametrize("limit, ranks", [(2, [1, 2]), (-1, [1, 2, 3, 4])])
 def test_ranks_follow_the_limit(small, limit, ranks):
     got = details.dashboard(small, limit=limit).filter("section = 'tracks'").collect()
     assert [r["rank"] for r in got] == ranks
 
 
+def test_long_lists_are_numbered_part_by_part(spark):
+    from listenlake.operators.topk import number_rows
+
+    df = spark.range(500).selectExpr("id", "id % 7 as plays").repartition(5)
+    got = number_rows(df, [F.desc("plays"), "id"]).collect()
+    want = sorted(range(500), key=lambda i: (-(i % 7), i))
+    assert {r.id: r["rank"] for r in got} == {i: k + 1 for k, i in enumerate(want)}
+
+
+def test_keyed_reports_filter_plays_before_summing(small):
+    for df in (reports.artist_stats(small, "a1"), reports.album_tracks(small, "b1"), reports.artist_top_albums(small, "a1")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        joins = [i for i, line in enumerate(plan) if "Join LeftSemi" in line]
+        sums = [i for i, line in enumerate(plan) if "Aggregate [track_isrc" in line or "Aggregate [coalesce(track_isrc" in line or "Aggregate [_groupingexpression" in line]
+        assert joins and sums and min(sums) < max(joins)
+
+
+def test_one_hit_in_all_lists_is_named_once(spark, make_lake):
+    lake = make_lake(
+        artists=[("a1", "Ann", 1), ("a2", "Bob", 2)], tracks=[("t1", "One", "a1", None)], features=[("t1", "a2")],
+        plays=[(f"x{i}", "t1", "2020-01-01", 60000) for i in range(50)])
+    df = reports.top_tracks(lake, per_library=True)
+    assert {r["artist"] for r in df.collect()} == {"Ann, Bob"} and df.count() == 50
+    assert "REPARTITION_BY_COL" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dashboard_scans_plays_once(spark, small, tmp_path):
     path = str(tmp_path / "plays")
     small.plays.write.parquet(path)

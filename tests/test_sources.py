@@ -12,7 +12,8 @@ from listenlake.operators import filters
 from listenlake.plans import reports
 from listenlake.schemas import HISTORY_B, PLAYS
 from listenlake.sources import history
-from listenlake.sources.store import LakeStore, write_records
+from listenlake.session import checkpoint_root
+from listenlake.sources.store import LakeStore, VersionTaken, write_records
 
 
 def listen(ts="2020-01-02T03:04:05Z", ms=60000, uri="spotify:track:x", episode=None, title="Song"):
@@ -121,6 +122,58 @@ def test_staging_keeps_one_of_each_name_and_length(spark, tmp_path):
     ]
 
 
+def test_listeners_files_are_staged_apart(spark):
+    files = spark.createDataFrame([("p1", "Streaming_History_Audio_1.json", 5, "ann"), ("p2", "Streaming_History_Audio_1.json", 5, "bob"),
+                                   ("p3", "Streaming_History_Audio_1.json", 5, "bob")], "path string, name string, length long, library string")
+    assert sorted(rows(history.stage_input_files(files, ["library"]), "library", "path")) == [("ann", "p1"), ("bob", "p2")]
+
+
+def test_a_repeated_batch_loses_years_it_no_longer_has(spark, tmp_path):
+    store = LakeStore(spark, str(tmp_path), buckets=2).create()
+    store.append_plays(play_rows(spark, ("x", "t", "2020-01-01", 1), ("x", "t", "2021-01-01", 2)), "one")
+    store.append_plays(play_rows(spark, ("x", "t", "2021-01-01", 2)), "one")
+    assert rows(store.read().plays, "ms_played") == [(2,)]
+    store.append_plays(play_rows(spark, ("x", "t", "2022-01-01", 3)), "two", commit=False)
+    assert store.read().plays.count() == 1  # not listed, not seen
+
+
+def test_two_imports_of_one_version_clash(spark, tmp_path):
+    store = LakeStore(spark, str(tmp_path), buckets=2).create()
+    seen = store.version()
+    store.write_catalog(store.empty(), "one", based_on=seen)
+    with pytest.raises(VersionTaken):
+        store.write_catalog(store.empty(), "two", based_on=seen)
+    assert store.finished("one") and not store.finished("two") and store.version() == 1
+    store._claim(2)
+    with pytest.raises(VersionTaken):
+        store.write_catalog(store.empty(), "three")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, key, default):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_root(Session())
+
+
+def test_seconds_are_filtered_before_they_are_rounded(spark):
+    rows_b = [("f", 0, "a", "t", "al", "I1", 30.0005, "2020-01-01 10:00:00"), ("f", 1, "a", "t", "al", "I1", 30.0, "2020-01-01 10:00:00"),
+              ("f", 2, "a", "t", "al", "I1", 31.001, "2020-01-01 10:00:00")]
+    raw = spark.createDataFrame(rows_b, ["file", "pos", "Artist", "Song Title", "Album Title", "ISRC", "Listening Time", "Date"])
+    assert sorted(rows(history.normalize_b(raw), "ms_played")) in ([(30000,), (31001,)], [(30001,), (31001,)])
+
+
 def test_presets():
     today = dt.date(2024, 2, 29)
     assert filters.preset_range("this_year", today) == (dt.date(2024, 1, 1), dt.date(2024, 12, 31))
