@@ -331,6 +331,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     scanned = cut_lineage(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
         describe, f"doc_id {kind}, text_hash long, n long, sig_a long, sig_b long, often array<long>, count array<long>"))
     described = scanned.filter("n >= 0").drop("often", "count")
+    # Rows alike in id and text would bring a set more than once.
+    repeated = described.count() > described.select("doc_id", "text_hash").distinct().count()
     signature = ["n", "sig_a", "sig_b"]
     classes = cut_lineage(described.filter("n > 0").groupBy(*signature).agg(F.min("doc_id").alias("class_id")).withColumn(
         "node", F.monotonically_increasing_id()))
@@ -350,7 +352,8 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         return plain.join(small(wanted.select(F.col("class_id").alias("doc_id"), "node", "sig_a", "sig_b")), "doc_id").select("text", "node", "sig_a", "sig_b")
 
     def sets(wanted: DataFrame) -> DataFrame:
-        return texts(wanted).mapInArrow(whole_sets, "node long, n long, hashes array<long>").dropDuplicates(["node"])
+        made = texts(wanted).mapInArrow(whole_sets, "node long, n long, hashes array<long>")
+        return made.dropDuplicates(["node"]) if repeated else made
 
     lists = candidate_lists(cut_lineage(texts(heavy).mapInArrow(partial(pack_sets, ranges, frequent), PACKED)), ranges, nodes)
     reached = cut_lineage(classes.join(small(cut_lineage(lists.select("node").distinct())), "node", "left_semi"))
