@@ -36,8 +36,8 @@ END_ID = 2
 LEVEL = 3
 #: Tokens of a shard, documents the dictionary is trained on, its bytes, and the bytes of each document it sees.
 SHARD_TOKENS, SAMPLE_DOCS, DICTIONARY_BYTES, SAMPLE_BYTES = 8_000_000, 1_000, 65_536, 16_384
-#: Words a worker remembers the ids of; beyond it starts anew.
-REMEMBER = 800_000
+#: Parts a worker remembers the ids of, by a 64-bit hash; beyond it starts anew.  Late ones are merged at so many.
+REMEMBER, LATE = 1_000_000, 65_536
 
 # Letters, digits, apostrophe and other signs of ASCII; bytes of other characters are 3.
 _KIND = np.full(256, 3, dtype=np.uint8)
@@ -65,24 +65,38 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.at, self.used = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 12, dtype=np.int64), 0
-
-    def learn(self, parts: list[str]) -> None:
+        self.count, self.used = 0, 0
+        self.ids, self.at = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 12, dtype=np.int64)
+        # Known parts by hash, sorted: a large table and a small one of late parts, merged now and then.
+        self.tables = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))] * 2
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Number of each part by its hash, -1 where it is not known."""
+        number = np.full(len(value), -1, dtype=np.int64)
+        for known, numbers in self.tables:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, value), len(known) - 1)
+                here = known[at] == value
+                number[here] = numbers[at[here]]
+        return number
+
+    def learn(self, value: np.ndarray, parts: list[str]) -> np.ndarray:
+        """Ask the library for the ids of new parts; returns their numbers."""
         # The library's own results are large, so they are taken a few at a time.
         found = [np.array(x.ids, dtype=np.uint32) for k in range(0, len(parts), 4096)
                  for x in self.tokenizer.encode_batch_fast(parts[k:k + 4096], add_special_tokens=False)]
-        fresh = np.concatenate(found) if found else self.ids[:0]
+        fresh = np.concatenate(found)
         while self.used + len(fresh) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-        while len(self.known) + len(parts) + 1 > len(self.at):
+        while self.count + len(parts) + 1 > len(self.at):
             self.at = np.concatenate((self.at, np.zeros_like(self.at)))
         self.ids[self.used:self.used + len(fresh)] = fresh
-        ends = self.used + np.cumsum([len(x) for x in found])
-        first = len(self.known)
-        self.at[first + 1:first + 1 + len(parts)] = ends
-        self.known.update(zip(parts, range(first, first + len(parts))))
-        self.used += len(fresh)
+        self.at[self.count + 1:self.count + 1 + len(parts)] = self.used + np.cumsum([len(x) for x in found])
+        number = np.arange(self.count, self.count + len(parts))
+        self.count, self.used = self.count + len(parts), self.used + len(fresh)
+        main, late = self.tables[0], merged(self.tables[1], (value, number))
+        self.tables = [main, late] if len(late[0]) < LATE else [merged(main, late), (value[:0], number[:0])]
+        return number
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> list[np.ndarray]:
         data, offsets = bytewords.flat(texts)
@@ -103,15 +117,15 @@ class Encoder:
         starts = np.sort(np.concatenate((start, extra)))
         ends = np.sort(np.concatenate((end, extra)))
         doc = np.searchsorted(offsets, starts, side="right") - 1
-        coded = bytewords.cut(data, starts, ends).dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        missing = [x for x in names if x not in self.known]
-        if len(self.known) + len(missing) > REMEMBER and self.known:
-            self.forget()
-            missing = names
-        self.learn(missing)
-        number = np.fromiter((self.known[x] for x in names), dtype=np.int64, count=len(names))
-        index = number[coded.indices.to_numpy()] if len(names) else np.zeros(0, dtype=np.int64)
+        distinct, example, inverse = np.unique(bytewords.hashes(data, starts, ends), return_index=True, return_inverse=True)
+        number = self.find(distinct)
+        if (number < 0).any():
+            if self.count and self.count + np.count_nonzero(number < 0) > REMEMBER:
+                self.forget()
+                number[:] = -1
+            new = number < 0
+            number[new] = self.learn(distinct[new], bytewords.cut(data, starts[example[new]], ends[example[new]]).to_pylist())
+        index = number[inverse]
         first, length = self.at[index], self.at[index + 1] - self.at[index]
         placed = np.zeros(len(index) + 1, dtype=np.int64)
         np.cumsum(length, out=placed[1:])
@@ -121,6 +135,13 @@ class Encoder:
         return [np.concatenate((flat[a:b], tail)) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
+def merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables (hash, number) as one, sorted by hash."""
+    value, number = (np.concatenate(x) for x in zip(one, other))
+    order = np.argsort(value, kind="stable")
+    return value[order], number[order]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary file."""
     if path not in _workers:
