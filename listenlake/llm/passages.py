@@ -117,12 +117,15 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                      names=["texts", "spans", "often", "count", "node", "place"])
 
 
-def pieces_of_nodes(node: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Each node once, with the pieces its spans cover."""
+def covered_pieces(node: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, piece) of every piece that a span covers."""
     length = length.astype(np.int64)
     first = np.cumsum(length) - length
-    covered = np.repeat(place.astype(np.int64) - first, length) + np.arange(int(length.sum()))
-    owner = np.repeat(node, length)
+    return np.repeat(node, length), np.repeat(place.astype(np.int64) - first, length) + np.arange(int(length.sum()))
+
+
+def pieces_of_nodes(owner: np.ndarray, covered: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Each node once, with its pieces."""
     order = np.lexsort((covered, owner))
     owner, covered = owner[order], covered[order]
     new = np.ones(len(owner), dtype=bool)
@@ -150,7 +153,7 @@ def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: It
             later = hot.copy()
             later[hot] = (first[at[hot], 0] != who[hot]) | (first[at[hot], 1] != place[hot])
             if later.any():
-                changed, covered = pieces_of_nodes(who[later], place[later], length[later])
+                changed, covered = pieces_of_nodes(*covered_pieces(who[later], place[later], length[later]))
                 nothing = [pa.nulls(len(changed), t) for t in (pa.int64(), pa.int64(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*nothing, changed, covered], names=["range", "count", "packed", "node", "pieces"])
             packed = list(packer.add(hashed[~hot], who[~hot], place[~hot], length[~hot]))
@@ -161,8 +164,8 @@ def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: It
         yield rows(packed)
 
 
-def later_in_range(table: pa.Table) -> pa.Table:
-    """(node, pieces) under all but the first span of each hash of one range."""
+def later_in_range(by_node: int, table: pa.Table) -> pa.Table:
+    """Pieces under all but the first span of each hash of one range, packed anew by node."""
     low, node, place, length = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 2, exact=True)
     order = np.lexsort((place, node, low))
     low, node, place, length = (x[order] for x in (low, node, place, length))
@@ -171,7 +174,18 @@ def later_in_range(table: pa.Table) -> pa.Table:
     # Rows alike share node and place: what repeats the first place is first as well.
     begin = np.maximum.accumulate(np.where(np.concatenate(([True], low[1:] != low[:-1])), np.arange(len(low)), 0))
     again &= (node != node[begin]) | (place != place[begin])
-    changed, covered = pieces_of_nodes(node[again], place[again], length[again])
+    owner, covered = covered_pieces(node[again], place[again], length[again])
+    order = np.argsort(owner, kind="stable")
+    packer = Packer(by_node)
+    packed = [*packer.add(bytewords.mixed(owner.astype(np.uint64))[order], owner[order], covered[order]), *packer.flush()]
+    kinds = (pa.int64(), pa.int64(), pa.binary())
+    return pa.table({name: pa.array([x[k] for x in packed], kinds[k]) for k, name in enumerate(("range", "count", "packed"))})
+
+
+def pieces_in_range(table: pa.Table) -> pa.Table:
+    """(node, pieces) of the nodes of one range."""
+    _, node, piece = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 1)
+    changed, covered = pieces_of_nodes(node, piece.astype(np.int64))
     return pa.table({"node": changed, "pieces": covered})
 
 
@@ -231,8 +245,10 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
     first = np.stack([frequent.column(c).to_numpy()[order] for c in ("node", "place")], axis=1)
     packed = cut_lineage(texts.mapInArrow(partial(pack_spans, ranges_for(whole[1] or 0), hashes[order], first), (
         "range long, count long, packed binary, node long, pieces array<int>")))
-    later = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
-        later_in_range, "node long, pieces array<int>").unionByName(packed.filter("range is null").select("node", "pieces"))
+    by_node = ranges_for((whole[1] or 0) // 4)
+    by_hash = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
+        lambda table: later_in_range(by_node, table), "range long, count long, packed binary")
+    later = by_hash.groupBy("range").applyInArrow(pieces_in_range, "node long, pieces array<int>").unionByName(packed.filter("range is null").select("node", "pieces"))
     gone = later.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("pieces"))).alias("_gone"))
     columns = [c for c in docs.columns if c.lower() not in ("n_removed", "n_removed_words")]
     source = docs.select(*columns).alias("s")
