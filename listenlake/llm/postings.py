@@ -13,7 +13,7 @@ import numpy as np
 import zstandard
 
 #: Postings of a range on average, and postings a task gathers before it packs them.
-RANGE, FLUSH = 500_000, 500_000
+RANGE, FLUSH = 1_000_000, 500_000
 #: A hash in more than this share of all documents counts as frequent.
 FREQUENT = 0.005
 
