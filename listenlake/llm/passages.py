@@ -95,26 +95,26 @@ def each_round(batch: pa.RecordBatch):
 
 @bytewords.tidy
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of texts and spans, and hashes that are frequent in a task, with their counts and first places."""
+    """Counts of texts and spans, and hashes that are frequent in a task, with their counts."""
     finder = Frequent()
     texts = spans = 0
 
     def rows(found):
         return pa.RecordBatch.from_arrays([pa.array([0] * len(found), pa.int64())] * 2 + [
-            pa.array([x[k].view(np.int64).tolist() for x in found], pa.list_(pa.int64())) for k in range(4)],
-            names=["texts", "spans", "often", "count", "node", "place"])
+            pa.array([x[k].view(np.int64).tolist() for x in found], pa.list_(pa.int64())) for k in range(2)],
+            names=["texts", "spans", "often", "count"])
 
     for batch in batches:
-        for node, owner, place, _, hashed in each_round(batch):
+        for node, owner, _, _, hashed in each_round(batch):
             texts, spans = texts + len(node), spans + len(hashed)
-            often = list(finder.add(len(node), hashed, node[owner], place))
+            often = list(finder.add(len(node), hashed, node[owner]))
             if often:
                 yield rows(often)
     often = list(finder.flush())
     if often:
         yield rows(often)
-    yield pa.RecordBatch.from_arrays([pa.array([texts]), pa.array([spans]), *[pa.nulls(1, pa.list_(pa.int64()))] * 4],
-                                     names=["texts", "spans", "often", "count", "node", "place"])
+    yield pa.RecordBatch.from_arrays([pa.array([texts]), pa.array([spans]), *[pa.nulls(1, pa.list_(pa.int64()))] * 2],
+                                     names=["texts", "spans", "often", "count"])
 
 
 def covered_pieces(node: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +135,26 @@ def pieces_of_nodes(owner: np.ndarray, covered: np.ndarray) -> tuple[pa.Array, p
     return pa.array(owner[begin]), pa.ListArray.from_arrays(pa.array(np.concatenate((begin, [len(owner)])), pa.int32()), pa.array(covered, pa.int32()))
 
 
+def split_first(hashed: np.ndarray, node: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(hash, node, place, length) of the first place of each hash, and (node, place, length) of all later ones."""
+    order = np.lexsort((place, node, hashed))
+    hashed, node, place, length = (x[order] for x in (hashed, node, place, length))
+    new = np.ones(len(hashed), dtype=bool)
+    new[1:] = hashed[1:] != hashed[:-1]
+    # Rows alike share node and place: what repeats the first place is first as well.
+    begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (node != node[begin]) | (place != place[begin])
+    return tuple(x[new] for x in (hashed, node, place, length)), tuple(x[later] for x in (node, place, length))
+
+
 @bytewords.tidy
-def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed spans, and (node, pieces) under the later places of frequent ones, which are known already."""
+def pack_spans(ranges: int, frequent: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed spans, and (node, pieces) under frequent ones that are not the first of their task.
+
+    Of a frequent hash a task packs its first place alone, whatever the order of its documents.
+    """
     packer = Packer(ranges, exact=True)
+    held = None
 
     def rows(packed):
         columns = [pa.array([x[k] for x in packed], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
@@ -150,16 +166,17 @@ def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: It
             who = node[owner]
             at = np.minimum(np.searchsorted(frequent, hashed), max(len(frequent) - 1, 0))
             hot = frequent[at] == hashed if len(frequent) else np.zeros(len(hashed), dtype=bool)
-            later = hot.copy()
-            later[hot] = (first[at[hot], 0] != who[hot]) | (first[at[hot], 1] != place[hot])
-            if later.any():
-                changed, covered = pieces_of_nodes(*covered_pieces(who[later], place[later], length[later]))
-                nothing = [pa.nulls(len(changed), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*nothing, changed, covered], names=["range", "count", "packed", "node", "pieces"])
+            if hot.any():
+                here = tuple(x[hot] for x in (hashed, who, place, length))
+                held, later = split_first(*(here if held is None else map(np.concatenate, zip(held, here))))
+                if len(later[0]):
+                    changed, covered = pieces_of_nodes(*covered_pieces(*later))
+                    nothing = [pa.nulls(len(changed), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*nothing, changed, covered], names=["range", "count", "packed", "node", "pieces"])
             packed = list(packer.add(hashed[~hot], who[~hot], place[~hot], length[~hot]))
             if packed:
                 yield rows(packed)
-    packed = list(packer.flush())
+    packed = [*(packer.add(*held) if held else ()), *packer.flush()]
     if packed:
         yield rows(packed)
 
@@ -167,14 +184,7 @@ def pack_spans(ranges: int, frequent: np.ndarray, first: np.ndarray, batches: It
 def later_in_range(by_node: int, table: pa.Table) -> pa.Table:
     """Pieces under all but the first span of each hash of one range, packed anew by node."""
     low, node, place, length = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 2, exact=True)
-    order = np.lexsort((place, node, low))
-    low, node, place, length = (x[order] for x in (low, node, place, length))
-    again = np.zeros(len(low), dtype=bool)
-    again[1:] = (low[1:] == low[:-1]) & ((node[1:] != node[:-1]) | (place[1:] != place[:-1]))
-    # Rows alike share node and place: what repeats the first place is first as well.
-    begin = np.maximum.accumulate(np.where(np.concatenate(([True], low[1:] != low[:-1])), np.arange(len(low)), 0))
-    again &= (node != node[begin]) | (place != place[begin])
-    owner, covered = covered_pieces(node[again], place[again], length[again])
+    owner, covered = covered_pieces(*split_first(low, node, place, length)[1])
     order = np.argsort(owner, kind="stable")
     packer = Packer(by_node)
     packed = [*packer.add(bytewords.mixed(owner.astype(np.uint64))[order], owner[order], covered[order]), *packer.flush()]
@@ -220,8 +230,8 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
     """`docs` with repeated passages removed from the column `text` in all but their first place, n_removed and n_removed_words.
 
     A span moves as a hash, its document's number and its place, packed.  Spans of more than FREQUENT of
-    all documents do not move: their first place is a minimum over all tasks, and each task drops the later
-    ones where they are.
+    all documents move once a task: each task drops all but its own first place where they are, and the
+    first of these is found like that of any other span.
     """
     send_package(docs.sparkSession)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64("text").alias("row"), F.col("text").cast("string").alias("text"))
@@ -235,15 +245,12 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
         texts = plain.alias("p").join(small(nodes).alias("n"), F.col("p.doc_id").eqNullSafe(F.col("n.doc_id")) & (
             F.col("p.row") == F.col("n.row"))).select("node", "text")
     seen = cut_lineage(texts.mapInArrow(describe, (
-        "texts long, spans long, often array<long>, count array<long>, node array<long>, place array<long>")))
+        "texts long, spans long, often array<long>, count array<long>")))
     whole = seen.agg(F.sum("texts"), F.sum("spans")).first()
-    frequent = seen.select(F.inline(F.arrays_zip("often", "count", "node", "place"))).groupBy("often").agg(
-        F.sum("count").alias("count"), F.min(F.struct("node", "place")).alias("first")).filter(
-        F.col("count") >= FREQUENT / 2 * (whole[0] or 0)).select("often", "first.node", "first.place").toArrow()
-    hashes = frequent.column("often").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    first = np.stack([frequent.column(c).to_numpy()[order] for c in ("node", "place")], axis=1)
-    packed = cut_lineage(texts.mapInArrow(partial(pack_spans, ranges_for(whole[1] or 0), hashes[order], first), (
+    frequent = seen.select(F.inline(F.arrays_zip("often", "count"))).groupBy("often").agg(F.sum("count").alias("count")).filter(
+        F.col("count") >= FREQUENT / 2 * (whole[0] or 0)).select("often").toArrow()
+    hashes = np.sort(frequent.column("often").to_numpy().view(np.uint64))
+    packed = cut_lineage(texts.mapInArrow(partial(pack_spans, ranges_for(whole[1] or 0), hashes), (
         "range long, count long, packed binary, node long, pieces array<int>")))
     by_node = ranges_for((whole[1] or 0) // 4)
     by_hash = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(

@@ -29,16 +29,17 @@ def range_of(value: np.ndarray, ranges: int) -> np.ndarray:
 class Frequent:
     """Gathers postings of a task's documents and yields the hashes that are frequent among them.
 
-    A yield holds (hashes, counts, first nodes, first places), from every FLUSH postings on.  A hash in `share` of
+    A yield holds (hashes, counts of documents), from every FLUSH postings on.  A hash in `share` of
     all documents is in half of that share at least in those flushes that hold half its occurrences, so
-    sums of these counts do not miss it.
+    sums of these counts do not miss it.  Flushes with few of a hash say nothing about it, so where
+    it stands is not told here.
     """
 
     def __init__(self, share: float = FREQUENT):
         self.share, self.held, self.size, self.documents = share, [], 0, 0
 
     def add(self, documents: int, value: np.ndarray, *where: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """Postings of so many more documents; without `where` (node, place), a document has a hash once and no firsts are yielded."""
+        """Postings of so many more documents; without `where` (node), a document has a hash once."""
         self.held.append((value, *where))
         self.size += len(value)
         self.documents += documents
@@ -51,19 +52,14 @@ class Frequent:
         value, *where = (np.concatenate(x) for x in zip(*self.held))
         least = max(8, self.share / 2 * self.documents)
         self.held, self.size, self.documents = [], 0, 0
-        if not where:
-            seen, count = np.unique(value, return_counts=True)
-            yield seen[count >= least], count[count >= least]
-            return
-        node, place = where
-        order = np.lexsort((place, node, value))
-        value, node, place = value[order], node[order], place[order]
-        one = np.ones(len(value), dtype=bool)
-        one[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
-        seen, count = np.unique(value[one], return_counts=True)
-        seen, count = seen[count >= least], count[count >= least]
-        first = np.searchsorted(value, seen, side="left")
-        yield seen, count, node[first], place[first]
+        if where:
+            order = np.lexsort((where[0], value))
+            value, node = value[order], where[0][order]
+            one = np.ones(len(value), dtype=bool)
+            one[1:] = (value[1:] != value[:-1]) | (node[1:] != node[:-1])
+            value = value[one]
+        seen, count = np.unique(value, return_counts=True)
+        yield seen[count >= least], count[count >= least]
 
 
 class Packer:

@@ -185,3 +185,15 @@ def test_passages_of_repeated_and_missing_ids(spark):
     got = sorted((r.doc_id or -1, r.text) for r in passages.remove_repeated_passages(docs).collect())
     assert len(got) == 5 and sum(t.startswith("Word0") for _, t in got) == 1
     assert passages.remove_repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_the_first_place_of_a_frequent_span_is_found_in_any_task(spark):
+    sentence = lambda k: f"s{k} " + " ".join(f"w{k}x{j}" for j in range(8)) + "."
+    # The first partition holds 8 of the spans at the passage's beginning and 7 of those at its end, the second 20 of both.
+    whole, short = " ".join(map(sentence, range(8))), " ".join(map(sentence, range(6)))
+    rows = [(i, f"Only {i} here. " + (short if i == 7 else whole)) for i in range(8)] + [(i, f"Only {i} here. {whole}") for i in range(100, 120)]
+    for order in (rows, rows[::-1], [rows[7], *rows[:7], *rows[8:]], [rows[0], *rows[8:], *rows[1:8]]):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(order[:8], 1).union(spark.sparkContext.parallelize(order[8:], 1)), "doc_id long, text string")
+        got = {r.doc_id: r.text for r in passages.remove_repeated_passages(docs).collect()}
+        assert got[0] == rows[0][1]
+        assert all(got[i].startswith(f"Only {i} here.") and "s4" not in got[i] for i, _ in rows[1:])
