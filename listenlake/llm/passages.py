@@ -1,8 +1,10 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences (after . ! ? and blanks, and at line ends); a sentence of more than
-LONG words is cut again behind words chosen by their hash, so that a passage is cut alike wherever
-it stands.  From every piece on, the shortest run of at least RUN pieces and WORDS words is a span.
+A text is cut into sentences (after . ! ? and their like in other scripts, also with closing quotes
+or brackets behind them, and blanks, and at line ends); a sentence of more than LONG words is cut
+again behind each word whose hash is the least of some GAP words in a row.  So no piece in there is
+longer than GAP words, and a passage is cut alike wherever it stands, but for under GAP words at
+each end.  From every piece on, the shortest run of at least RUN pieces and WORDS words is a span.
 Spans are joined over all documents by hash; the first occurrence, in the order of document id and
 place, stays, and the pieces under any later one go.
 
@@ -28,17 +30,63 @@ from listenlake.llm.workers import send_package
 from listenlake.session import cut_lineage
 
 RUN, WORDS, LONG = 3, 20, 16
-#: A word in a long sentence ends a piece if its hash is 0 modulo this.
-CUT = 6
+#: In a long sentence each run of so many words has a word that ends a piece.
+GAP = 6
 #: Ids that are no numbers are numbered so many a task.
 KEYS_PER_TASK = 200_000
 
-_ENDS = np.zeros(256, dtype=bool)
-_ENDS[[ord(x) for x in ".!?"]] = True
+# Signs that end a sentence, and signs that may stand between such an end and the blank.
+ENDS, CLOSERS = ".!?…。！？．｡؟۔।॥։።‼⁇⁈⁉", "\"')]}*_”’»›“‘」』）】》〉"
+
+
+def _coded(signs: str) -> list[np.ndarray]:
+    """UTF-8 bytes of the signs of one, two and three bytes, each as a number."""
+    coded = [x.encode() for x in signs]
+    return [np.array([int.from_bytes(x, "big") for x in coded if len(x) == n], dtype=np.int64) for n in (1, 2, 3)]
+
+
+_ENDS, _CLOSERS = _coded(ENDS), _coded(CLOSERS)
+_ENDS_PLAIN = np.zeros(256, dtype=bool)
+_ENDS_PLAIN[_ENDS[0]] = True
+#: Last bytes of words that have to be looked at more closely.
+_MAY_END = np.zeros(256, dtype=bool)
+_MAY_END[[x.encode()[-1] for x in ENDS + CLOSERS]] = True
+_MAY_END &= ~_ENDS_PLAIN
 _NEWLINE = 10
 _TURN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def ends_sentence(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which words end with a sentence end, closing quotes and brackets behind it left aside."""
+    ends = _ENDS_PLAIN[data[end - 1]]
+    at = np.flatnonzero(_MAY_END[data[end - 1]])
+    low, stop = start[at], end[at]
+    while len(at):
+        code, length = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        for n in (1, 2, 3):
+            code += np.where(stop - n >= low, data[np.maximum(stop - n, 0)].astype(np.int64) << (8 * (n - 1)), 0)
+            ends[at[np.isin(code, _ENDS[n - 1])]] = True
+            length[np.isin(code, _CLOSERS[n - 1])] = n
+        more = (length > 0) & (stop - length > low)
+        at, low, stop = at[more], low[more], (stop - length)[more]
+    return ends
+
+
+def least_of_windows(value: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which values are the least, the last of equal ones, of some GAP values in a row of their group.
+
+    Groups begin at `first` and have `size` values; those of under GAP have none.
+    """
+    count = np.maximum(size - GAP + 1, 0)
+    window = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    best = window.copy()
+    for j in range(1, GAP):
+        best = np.where(value[window + j] <= value[best], window + j, best)
+    chosen = np.zeros(len(value), dtype=bool)
+    chosen[best] = True
+    return chosen
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of all texts in a row: start, end and hash of each, and the number of the piece it is in.
 
@@ -50,11 +98,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return start, end, value, doc
     lines = np.concatenate(([0], np.cumsum(data == _NEWLINE)))
     new = np.ones(len(start), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | _ENDS[data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1]])
+    new[1:] = (doc[1:] != doc[:-1]) | ends_sentence(data, start[:-1], end[:-1]) | (lines[start[1:]] > lines[end[:-1]])
     sentence = np.cumsum(new) - 1
     size = np.bincount(sentence)
-    # Inside a long sentence a chosen word ends a piece; the choice looks at the word alone.
-    chosen = (size[sentence] > LONG) & (value % np.uint64(CUT) == 0)
+    # Inside a long sentence a chosen word ends a piece; the choice looks at under GAP words on each side.
+    chosen = least_of_windows(value, np.flatnonzero(new), np.where(size > LONG, size, 0))
     new[1:] |= chosen[:-1]
     return start, end, value, np.cumsum(new) - 1
 
@@ -124,6 +172,20 @@ def covered_pieces(node: np.ndarray, place: np.ndarray, length: np.ndarray) -> t
     return np.repeat(node, length), np.repeat(place.astype(np.int64) - first, length) + np.arange(int(length.sum()))
 
 
+def disjoint(node: np.ndarray, place: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (node, place, length) over the same pieces that do not overlap."""
+    order = np.lexsort((place, node))
+    node, place = node[order], place[order].astype(np.int64)
+    stop = place + length[order]
+    if not len(node):
+        return node, place, stop
+    rank = np.cumsum(np.concatenate(([False], node[1:] != node[:-1]))).astype(np.int64) << 32
+    before = np.maximum.accumulate(rank + stop)[:-1]
+    place[1:] = np.maximum(rank[1:] + place[1:], before) - rank[1:]
+    new = place < stop
+    return node[new], place[new], (stop - place)[new]
+
+
 def pieces_of_nodes(owner: np.ndarray, covered: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Each node once, with its pieces."""
     order = np.lexsort((covered, owner))
@@ -170,7 +232,7 @@ def pack_spans(ranges: int, frequent: np.ndarray, batches: Iterator[pa.RecordBat
                 here = tuple(x[hot] for x in (hashed, who, place, length))
                 held, later = split_first(*(here if held is None else map(np.concatenate, zip(held, here))))
                 if len(later[0]):
-                    changed, covered = pieces_of_nodes(*covered_pieces(*later))
+                    changed, covered = pieces_of_nodes(*covered_pieces(*disjoint(*later)))
                     nothing = [pa.nulls(len(changed), t) for t in (pa.int64(), pa.int64(), pa.binary())]
                     yield pa.RecordBatch.from_arrays([*nothing, changed, covered], names=["range", "count", "packed", "node", "pieces"])
             packed = list(packer.add(hashed[~hot], who[~hot], place[~hot], length[~hot]))
@@ -182,20 +244,21 @@ def pack_spans(ranges: int, frequent: np.ndarray, batches: Iterator[pa.RecordBat
 
 
 def later_in_range(by_node: int, table: pa.Table) -> pa.Table:
-    """Pieces under all but the first span of each hash of one range, packed anew by node."""
+    """All but the first span of each hash of one range, packed anew by node."""
     low, node, place, length = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 2, exact=True)
-    owner, covered = covered_pieces(*split_first(low, node, place, length)[1])
+    owner, place, length = split_first(low, node, place, length)[1]
     order = np.argsort(owner, kind="stable")
+    owner, place, length = owner[order], place[order], length[order]
     packer = Packer(by_node)
-    packed = [*packer.add(bytewords.mixed(owner.astype(np.uint64))[order], owner[order], covered[order]), *packer.flush()]
+    packed = [*packer.add(bytewords.mixed(owner.astype(np.uint64)), owner, place, length), *packer.flush()]
     kinds = (pa.int64(), pa.int64(), pa.binary())
     return pa.table({name: pa.array([x[k] for x in packed], kinds[k]) for k, name in enumerate(("range", "count", "packed"))})
 
 
 def pieces_in_range(table: pa.Table) -> pa.Table:
-    """(node, pieces) of the nodes of one range."""
-    _, node, piece = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 1)
-    changed, covered = pieces_of_nodes(node, piece.astype(np.int64))
+    """(node, pieces) of the nodes of one range, from their spans."""
+    _, node, place, length = unpack(table.column("count").to_pylist(), table.column("packed").to_pylist(), 2)
+    changed, covered = pieces_of_nodes(*covered_pieces(*disjoint(node, place, length)))
     return pa.table({"node": changed, "pieces": covered})
 
 
@@ -252,7 +315,7 @@ def remove_repeated_passages(docs: DataFrame, doc_id: str = "doc_id") -> DataFra
     hashes = np.sort(frequent.column("often").to_numpy().view(np.uint64))
     packed = cut_lineage(texts.mapInArrow(partial(pack_spans, ranges_for(whole[1] or 0), hashes), (
         "range long, count long, packed binary, node long, pieces array<int>")))
-    by_node = ranges_for((whole[1] or 0) // 4)
+    by_node = ranges_for((whole[1] or 0) // 2)
     by_hash = packed.filter("range is not null").select("range", "count", "packed").groupBy("range").applyInArrow(
         lambda table: later_in_range(by_node, table), "range long, count long, packed binary")
     later = by_hash.groupBy("range").applyInArrow(pieces_in_range, "node long, pieces array<int>").unionByName(packed.filter("range is null").select("node", "pieces"))

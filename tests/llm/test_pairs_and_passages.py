@@ -197,3 +197,36 @@ def test_the_first_place_of_a_frequent_span_is_found_in_any_task(spark):
         got = {r.doc_id: r.text for r in passages.remove_repeated_passages(docs).collect()}
         assert got[0] == rows[0][1]
         assert all(got[i].startswith(f"Only {i} here.") and "s4" not in got[i] for i, _ in rows[1:])
+
+
+def spans_in(texts):
+    """Of each text, the words under each of its spans."""
+    import pyarrow as pa
+
+    owner, place, length, hashed, (_, start, _, piece, first, bound) = passages.spans_of(pa.array(texts))
+    edge = [*first, len(start)]
+    begin = [edge[b] if b < len(edge) else len(start) for b in bound]
+    return [{int(h): range(edge[bound[o] + p] - begin[o], edge[bound[o] + p + n] - begin[o]) for o, p, n, h in zip(owner, place, length, hashed) if o == k} for k in range(len(texts))]
+
+
+def test_passages_without_sentence_ends_share_spans_at_any_offset():
+    rng = random.Random(4)
+    for n in range(51, 61):
+        for kinds in (3, 20, 5000):
+            for _ in range(25):
+                passage = [f"p{rng.randrange(kinds)}" for _ in range(n)]
+                around = [[f"x{rng.randrange(5000)}" for _ in range(rng.randrange(40))] for _ in range(4)]
+                one, two = spans_in([" ".join(around[0] + passage + around[1]), " ".join(around[2] + passage + around[3])])
+                at = len(around[0])
+                found = {i for h in one.keys() & two.keys() for i in one[h] if at <= i < at + n}
+                assert len(found) >= n - 3 * passages.GAP, (n, kinds)
+
+
+def test_sentence_ends_before_quotes_and_in_other_scripts():
+    import pyarrow as pa
+
+    ends = ["end.", "end?!", 'end."', "end.)", "end.”", "(end!)”", "end…", "end。", "ends！」", "क।", "end.**", "سؤال؟"]
+    others = ["end", "“quoted”", "(bracket)", '"', "”", "é", "don’t", "3.5", "中文"]
+    for word, new in [(w, True) for w in ends] + [(w, False) for w in others]:
+        data, offsets = bytewords.flat(pa.array([f"a {word} b"]))
+        assert passages.pieces(data, offsets)[3].tolist() == [0, 0, int(new)], word
