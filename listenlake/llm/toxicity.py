@@ -3,7 +3,8 @@
 A character model of order ORDER is counted over every word of the corpus.  Tokens that
 look written around a filter (digits or signs for letters, runs of one letter, letters
 set apart by blanks or signs) are decoded: each character may stand for itself, for the
-letters it resembles, or for nothing, and Viterbi picks the likeliest word.  The score is
+letters it resembles, or for nothing, a sign or blank also for the end of a word, and Viterbi
+picks the likeliest words; runs of letters between signs count as words besides.  The score is
 1 - (1 - base) * product(1 - p) over the distinct telling words of the restored text,
 where p is a word's smoothed share of toxic documents among those that hold it.
 
@@ -16,6 +17,7 @@ Label, language, source and id are no inputs of a score.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 from functools import partial
 
@@ -43,8 +45,8 @@ LOOKS_LIKE = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e",
 }
-#: Costs in nats: a character for a letter it resembles, one left out, a repeated letter left out.
-SUBSTITUTE, OMIT, OMIT_REPEAT = 1.0, 3.0, 0.7
+#: Costs in nats: a character for a letter it resembles, one left out, a repeated letter left out, a plain sign for nothing or a word's end.
+SUBSTITUTE, OMIT, OMIT_REPEAT, SIGN = 1.0, 3.0, 0.7, 0.1
 #: Longest token that is decoded; no word is longer, and longer tokens stay as they are.
 LONGEST = 48
 #: Decoded tokens a worker remembers.
@@ -57,13 +59,30 @@ _LETTER[97:123] = True
 _LETTER[128:] = True
 _STANDS = np.zeros(256, dtype=bool)
 _STANDS[[ord(x) for x in LOOKS_LIKE if ord(x) < 128]] = True
-_SEPARATES = np.zeros(256, dtype=bool)
-_SEPARATES[[ord(x) for x in "._-*~"]] = True
-
-
-def letters_only(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+#: Characters of two and three bytes that are no letters, marks or numbers.
+_SIGN = np.array([i >= 128 and unicodedata.category(chr(i))[0] not in "LMN" for i in range(1 << 16)])
+
+
+def letters_of(data: np.ndarray) -> np.ndarray:
+    """Which lower-cased bytes are letters' bytes; signs outside ASCII are none."""
+    letter = _LETTER[data]
+    lead = np.flatnonzero(data >= 0xC2)
+    lead = lead[lead + 1 < len(data)]
+    first, wide = data[lead].astype(np.int64), np.append(data, np.zeros(3, dtype=np.uint8)).astype(np.int64) & 63
+    two, three = lead[first < 0xE0], lead[(first >= 0xE0) & (first < 0xF0)]
+    # Pictures are in the planes behind F0 9F.
+    four = lead[(first == 0xF0) & (data[lead + 1] == 0x9F)]
+    two = two[_SIGN[(data[two].astype(np.int64) & 31) << 6 | wide[two + 1]]]
+    three = three[_SIGN[(data[three].astype(np.int64) & 15) << 12 | wide[three + 1] << 6 | wide[three + 2]]]
+    for size, found in ((2, two), (3, three), (4, four)):
+        for j in range(size):
+            letter[found + j] = False
+    return letter
+
+
+def letters_only(letter: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans without the signs and digits around their letters; a span without letters becomes empty."""
-    place = np.flatnonzero(_LETTER[data])
+    place = np.flatnonzero(letter)
     if not len(place):
         return start, start
     low = np.searchsorted(place, start, side="left")
@@ -81,7 +100,7 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, offsets = bytewords.flat(batch.column("text").slice(first, last - first))
             data = bytewords.LOWER[data]
             start, end, _ = bytewords.spans(~bytewords.IS_GAP[data], offsets)
-            start, end = letters_only(data, start, end)
+            start, end = letters_only(letters_of(data), start, end)
             start, end = start[end > start], end[end > start]
             # Words one after the other, each behind ORDER - 1 edges and before one.
             length = end - start + ORDER
@@ -117,7 +136,7 @@ class CharModel:
 
 
 def choices(token: str) -> list[list[tuple[int, str, float]]]:
-    """The lattice of a token: per character the (symbol, letter, cost) it may be; symbol -1 leaves it out."""
+    """The lattice of a token: per character the (symbol, letter, cost) it may be; -1 leaves it out, EDGE ends a word."""
     lattice = []
     for i, x in enumerate(token):
         here = []
@@ -127,31 +146,34 @@ def choices(token: str) -> list[list[tuple[int, str, float]]]:
                 here.append((-1, "", OMIT_REPEAT))
         elif x in LOOKS_LIKE:
             here += [(ord(y) - 97, y, SUBSTITUTE) for y in LOOKS_LIKE[x]]
-            here.append((-1, "", OMIT_REPEAT if i and token[i - 1] == x else OMIT))
+            here += [(-1, "", OMIT_REPEAT if i and token[i - 1] == x else OMIT), (EDGE, " ", OMIT)]
         elif x.isalpha():
             here.append((OTHER, x, 0.0))
         else:
-            here.append((-1, "", 0.1))
+            here += [(-1, "", SIGN), (EDGE, " ", SIGN)]
         lattice.append(here)
     return lattice
 
 
 def decode(model: CharModel, token: str) -> str:
-    """The likeliest word behind a token: Viterbi over (previous characters) states."""
+    """The likeliest words behind a token, set apart by blanks: Viterbi over (previous characters) states."""
     cost = model.cost
-    states = {(EDGE,) * (ORDER - 1): (0.0, "")}
+    begin = (EDGE,) * (ORDER - 1)
+    states = {begin: (0.0, "")}
     for here in choices(token):
         after: dict[tuple, tuple[float, str]] = {}
         for state, (paid, word) in states.items():
             for symbol, letter, price in here:
-                if symbol < 0:
+                if symbol < 0 or (symbol == EDGE and state == begin):
                     key, value = state, (paid + price, word)
+                elif symbol == EDGE:
+                    key, value = begin, (paid + price + cost[state + (EDGE,)], word + letter)
                 else:
                     key, value = state[1:] + (symbol,), (paid + price + cost[state + (symbol,)], word + letter)
                 if key not in after or value < after[key]:
                     after[key] = value
         states = after
-    return min((paid + cost[state + (EDGE,)], word) for state, (paid, word) in states.items())[1]
+    return min((paid + (0.0 if state == begin else cost[state + (EDGE,)]), word) for state, (paid, word) in states.items())[1].strip()
 
 
 class Restorer:
@@ -172,15 +194,18 @@ class Restorer:
         data, offsets = bytewords.flat(texts)
         data = bytewords.LOWER[data]
         start, end, doc = bytewords.spans(~bytewords.IS_GAP[data], offsets)
-        n = np.concatenate(([0], np.cumsum(_LETTER[data])))
+        letter = letters_of(data)
+        n = np.concatenate(([0], np.cumsum(letter)))
         letters = n[end] - n[start]
-        core, stop = letters_only(data, start, end)
+        core, stop = letters_only(letter, start, end)
         # A sign of disguise: between the letters, or in front of them, something else; or a letter three times.
         inside = (stop - core) != letters
-        front = (core > start) & _STANDS[data[np.maximum(core - 1, 0)]] & (letters > 0)
+        euro = np.zeros(len(data) + 1, dtype=bool)
+        euro[3:] = (data[:-2] == 0xE2) & (data[1:-1] == 0x82) & (data[2:] == 0xAC) if len(data) > 2 else False
+        front = (core > start) & (_STANDS[data[np.maximum(core - 1, 0)]] | euro[core]) & (letters > 0)
         run = np.zeros(len(data) + 1, dtype=np.int64)
         if len(data) > 2:
-            run[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]])
+            run[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:])
         long_run = (run[stop] - run[np.minimum(core + 2, stop)] > 0) & (letters > 2)
         size = stop - core
         odd = (inside | front | long_run) & (end - start <= LONGEST) & (letters > 0)
@@ -189,7 +214,11 @@ class Restorer:
         found: list[tuple[int, str]] = []
         for i in np.flatnonzero(odd):
             token = data[start[i]:end[i]].tobytes().decode("utf-8", "ignore").rstrip("!?.,;:*#%&$|()[]\"'")
-            found.append((int(doc[i]), self.decoded(token)))
+            found += [(int(doc[i]), w) for w in self.decoded(token).split()]
+            if inside[i]:
+                # Words joined by signs, as they stand.
+                edge = core[i] + np.flatnonzero(np.diff(letter[core[i]:stop[i]], prepend=False, append=False))
+                found += [(int(doc[i]), data[a:b].tobytes().decode("utf-8", "ignore")) for a, b in zip(edge[::2], edge[1::2]) if b - a > 1]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
         for a, b in zip(edge[::2], edge[1::2]):
             for lo in range(a, b):
@@ -199,7 +228,7 @@ class Restorer:
                 while hi < b and doc[hi] == doc[lo]:
                     hi += 1
                 if 3 <= hi - lo <= LONGEST:
-                    found.append((int(doc[lo]), self.decoded("".join(chr(data[core[k]]) for k in range(lo, hi)))))
+                    found += [(int(doc[lo]), w) for w in self.decoded(" ".join(chr(data[core[k]]) for k in range(lo, hi))).split()]
         plain = ~odd & (size > 0)
         return data, core[plain], stop[plain], doc[plain], found
 
