@@ -17,6 +17,7 @@ Label, language, source and id are no inputs of a score.
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import partial
@@ -47,10 +48,12 @@ LOOKS_LIKE = {
 }
 #: Costs in nats: a character for a letter it resembles, one left out, a repeated letter left out, a plain sign for nothing or a word's end.
 SUBSTITUTE, OMIT, OMIT_REPEAT, SIGN = 1.0, 3.0, 0.7, 0.1
-#: Longest token that is decoded; no word is longer, and longer tokens stay as they are.
-LONGEST = 48
-#: Decoded tokens a worker remembers.
-REMEMBER = 200_000
+#: Decoded tokens a worker remembers, and the longest of them.
+REMEMBER, REMEMBER_LENGTH = 200_000, 48
+#: Of a run of one character so many are looked at.
+ALIKE = 3
+
+_ALIKE = re.compile(rf"(?s)((.)\2{{{ALIKE - 1}}})\2+")
 
 _SYMBOL = np.full(256, OTHER, dtype=np.int64)
 _SYMBOL[97:123] = np.arange(26)
@@ -159,21 +162,27 @@ def decode(model: CharModel, token: str) -> str:
     """The likeliest words behind a token, set apart by blanks: Viterbi over (previous characters) states."""
     cost = model.cost
     begin = (EDGE,) * (ORDER - 1)
-    states = {begin: (0.0, "")}
+    # A word so far is a chain of its last letter and what is before it, so that a step costs the same at any length.
+    states = {begin: (0.0, None)}
     for here in choices(token):
-        after: dict[tuple, tuple[float, str]] = {}
+        after: dict[tuple, tuple[float, tuple | None]] = {}
         for state, (paid, word) in states.items():
             for symbol, letter, price in here:
                 if symbol < 0 or (symbol == EDGE and state == begin):
-                    key, value = state, (paid + price, word)
+                    key, value, add = state, paid + price, False
                 elif symbol == EDGE:
-                    key, value = begin, (paid + price + cost[state + (EDGE,)], word + letter)
+                    key, value, add = begin, paid + price + cost[state + (EDGE,)], True
                 else:
-                    key, value = state[1:] + (symbol,), (paid + price + cost[state + (symbol,)], word + letter)
-                if key not in after or value < after[key]:
-                    after[key] = value
+                    key, value, add = state[1:] + (symbol,), paid + price + cost[state + (symbol,)], True
+                if key not in after or value < after[key][0]:
+                    after[key] = (value, (word, letter) if add else word)
         states = after
-    return min((paid + (0.0 if state == begin else cost[state + (EDGE,)]), word) for state, (paid, word) in states.items())[1].strip()
+    word = min(((paid + (0.0 if state == begin else cost[state + (EDGE,)]), state, word) for state, (paid, word) in states.items()), key=lambda x: x[:2])[2]
+    letters = []
+    while word is not None:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters)).strip()
 
 
 class Restorer:
@@ -183,6 +192,9 @@ class Restorer:
         self.model, self.known = CharModel(counts), {}
 
     def decoded(self, token: str) -> str:
+        token = _ALIKE.sub(r"\1", token)
+        if len(token) > REMEMBER_LENGTH:
+            return decode(self.model, token)
         if token not in self.known:
             if len(self.known) >= REMEMBER:
                 self.known.clear()
@@ -208,7 +220,7 @@ class Restorer:
             run[3:] = np.cumsum((data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:])
         long_run = (run[stop] - run[np.minimum(core + 2, stop)] > 0) & (letters > 2)
         size = stop - core
-        odd = (inside | front | long_run) & (end - start <= LONGEST) & (letters > 0)
+        odd = (inside | front | long_run) & (letters > 0)
         # Letters set apart by blanks: three or more one-letter words in a row.
         single = (size == 1) & (end - start <= 2) & (letters == 1)
         found: list[tuple[int, str]] = []
@@ -221,13 +233,10 @@ class Restorer:
                 found += [(int(doc[i]), data[a:b].tobytes().decode("utf-8", "ignore")) for a, b in zip(edge[::2], edge[1::2]) if b - a > 1]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
         for a, b in zip(edge[::2], edge[1::2]):
-            for lo in range(a, b):
-                if lo > a and doc[lo] == doc[lo - 1]:
-                    continue
-                hi = lo
-                while hi < b and doc[hi] == doc[lo]:
-                    hi += 1
-                if 3 <= hi - lo <= LONGEST:
+            # A run may go over the end of a text.
+            cuts = [a, *(a + 1 + np.flatnonzero(np.diff(doc[a:b]))), b]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi - lo >= 3:
                     found += [(int(doc[lo]), w) for w in self.decoded(" ".join(chr(data[core[k]]) for k in range(lo, hi))).split()]
         plain = ~odd & (size > 0)
         return data, core[plain], stop[plain], doc[plain], found

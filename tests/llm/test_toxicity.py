@@ -29,3 +29,11 @@ def words_of(reader, text):
 ])
 def test_words_joined_to_neighbours_are_found(reader, text, want):
     assert want <= words_of(reader, text)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("you " + "i" * 30 + "d" + "i" * 30 + "o" * 20 + "t", {"you", "idiot"}), ("y o u a r e " * 3 + "a c o m p l e t e i d i o t " * 3, {"complete", "idiot"}),
+    (",".join(["weather"] * 20 + ["m0r0n"]), {"weather", "moron"}), ("x" * 5 + "-1d10t" * 20_000, {"idiot"}),
+])
+def test_long_disguises_are_decoded(reader, text, want):
+    assert want <= words_of(reader, text)
