@@ -68,3 +68,14 @@ def test_clashing_columns_repeats_and_no_rows(spark):
     got = pii.pseudonymize(docs).collect()
     assert len(got) == 2 and got[0] == got[1] and got[0].n_card == 3
     assert pii.pseudonymize(docs.limit(0)).count() == 0
+
+
+def test_an_iban_ends_where_its_country_says(spark):
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    behind = [" BIC", " IBAN", " 2024-01-02", " 1234 AB", " 4111 1111 1111 1111", ""]
+    texts = [f"pay {x}{y}" for x in ibans for y in behind]
+    got = run(spark, texts)
+    for row, text in zip(got, texts):
+        assert row.n_iban == 1 and row.n_date == text.count("2024-01-02") and row.n_card == text.count("4111 "), text
+    assert {r.text[4:4 + len(x)] for r, x in zip(got, [x for x in ibans for _ in behind])}.isdisjoint(ibans)
+    assert [r.text for r in run(spark, [r.text for r in got], inverse=True)] == texts
