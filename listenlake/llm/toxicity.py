@@ -228,9 +228,16 @@ class Restorer:
             token = data[start[i]:end[i]].tobytes().decode("utf-8", "ignore").rstrip("!?.,;:*#%&$|()[]\"'")
             found += [(int(doc[i]), w) for w in self.decoded(token).split()]
             if inside[i]:
-                # Words joined by signs, as they stand.
-                edge = core[i] + np.flatnonzero(np.diff(letter[core[i]:stop[i]], prepend=False, append=False))
-                found += [(int(doc[i]), data[a:b].tobytes().decode("utf-8", "ignore")) for a, b in zip(edge[::2], edge[1::2]) if b - a > 1]
+                # Words joined by signs, as they stand: runs cut only at signs that stand for no letter and are no
+                # apostrophe, and kept only where they hold letters alone ('idiot,moron' gives both words, '!d!ot' and
+                # "it's" none besides their decoding).
+                part = letter[core[i]:stop[i]] | _STANDS[data[core[i]:stop[i]]] | (data[core[i]:stop[i]] == 39)
+                edge = core[i] + np.flatnonzero(np.diff(part, prepend=False, append=False))
+                found += [
+                    (int(doc[i]), data[a:b].tobytes().decode("utf-8", "ignore"))
+                    for a, b in zip(edge[::2], edge[1::2])
+                    if b - a > 1 and letter[a:b].all()
+                ]
         edge = np.flatnonzero(np.diff(np.concatenate(([0], single.astype(np.int8), [0]))))
         for a, b in zip(edge[::2], edge[1::2]):
             # A run may go over the end of a text.
