@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listenlake.llm import chat, contamination, mixing, passages, pii, quality, similarity, tokens, toxicity, urls
+from listenlake.llm import centroids, chat, contamination, lines, merkle, mixing, passages, pii, quality, similarity, tokens, toxicity, urls
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -160,3 +160,74 @@ def op1(spark, sf_dir):
 @query("op5_substring_dedup")
 def op5(spark, sf_dir):
     return passages.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LINES_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+), l as (
+  select rid, doc_id, unnest(ls) as line, unnest(range(len(ls))) as pos from d
+), k as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l
+), f as (
+  select key from k where length(key) >= 1 group by key
+  having count(distinct doc_id) + max(case when doc_id is null then 1 else 0 end) >= 10
+), m as (select k.*, f.key is not null as gone from k left join f using (key))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from m group by rid, doc_id
+"""
+
+
+@query("op13_line_dedup", LINES_SQL)
+def op13(spark, sf_dir):
+    out = lines.drop_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+def centroid_sql(k: int = centroids.K, rounds: int = centroids.ROUNDS, dim: int = centroids.DIM) -> str:
+    """Plain k-means in DuckDB: distances by brute force, every round its own step."""
+    steps = [f"""v as (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor({centroids.SCALE} * x::double)::bigint) as x from embeddings
+  where len(embedding) = {dim} and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x::double)))
+)""", f"""c0 as (
+  select (row_number() over (order by sha256('{centroids.SEED}:' || vec_id::varchar) nulls last, x) - 1)::int as c, x as cx from v
+  qualify row_number() over (order by sha256('{centroids.SEED}:' || vec_id::varchar) nulls last, x) <= {k}
+)"""]
+
+    def assign(t: int, centres: str) -> str:
+        return f"""a{t} as (
+  select rid, vec_id, x, first(c order by d, c) as c, first(d order by d, c) as d from (
+    select rid, vec_id, x, c, list_sum(list_transform(range(1, {dim + 1}), lambda i: (x[i] - cx[i]) * (x[i] - cx[i]))) as d from v, {centres}
+  ) group by rid, vec_id, x
+)"""
+
+    for t in range(1, rounds + 1):
+        steps.append(assign(t, f"c{t - 1}"))
+        steps.append(f"""s{t} as (
+  select c, i, sum(x[i]) as s, count(*) as n from a{t}, range(1, {dim + 1}) r(i) group by c, i
+), n{t} as (
+  select c, list((s - ((s % n) + n) % n) // n order by i) as cx from s{t} group by c
+), c{t} as (
+  select p.c, coalesce(n{t}.cx, p.cx) as cx from c{t - 1} p left join n{t} using (c)
+)""")
+    steps.append(assign(rounds + 1, f"c{rounds}"))
+    last = f"a{rounds + 1}"
+    return "with " + ",\n".join(steps) + f"""
+select vec_id, c as cluster, d::bigint as distance, (sum(d) over (partition by c))::bigint as cluster_inertia,
+  (sum(d) over ())::bigint as inertia, sha256(array_to_string(cx, ',')) as centroid_sha256
+from {last} join c{rounds} using (c)
+"""
+
+
+@query("op12_centroid_clustering", centroid_sql())
+def op12(spark, sf_dir):
+    clustered, _ = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+@query("op11_merkle_manifest")
+def op11(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
