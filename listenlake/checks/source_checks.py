@@ -162,6 +162,26 @@ def _(spark, sf_dir):
     )
 
 
+#: Imports the compaction query splits the plays into.
+IMPORTS = 12
+
+
+@check("compact_plays", """
+select library, source, count(*) as plays, cast(sum(ms_played) as bigint) as total_ms
+from fx_plays group by library, source""")
+def _(spark, sf_dir):
+    # Many small imports, one of them twice; compacted into few files, replaced files expired; every play once.
+    store = _new_store(spark).create()
+    plays = lake(spark, sf_dir).plays
+    part = F.pmod(F.xxhash64(*plays.columns), F.lit(IMPORTS))
+    for i in range(IMPORTS):
+        store.append_plays(plays.filter(part == i), f"import-{i}")
+    store.compact_plays(target_bytes=1 << 30)
+    store.append_plays(plays.filter(part == 0), "import-0")
+    store.expire_files(keep=1, grace_seconds=0)
+    return store.read().plays.groupBy("library", "source").agg(F.count("*").alias("plays"), F.sum("ms_played").alias("total_ms"))
+
+
 @check("report_as_json", tracks_sql())
 def _(spark, sf_dir):
     path = scratch_path(spark, "report")

@@ -4,10 +4,12 @@
     <base>/plays/year=/library_bucket=/batch=
     <base>/versions                      one row per finished import: catalog folder, bucket count, plays' attempt
     <base>/claims/<n>                    made once for each version, so that two imports cannot both take it
+    <base>/manifest/<seq>-<id>           the live play files with their bounds (see `manifest`)
 
-A reader takes the newest version that `versions` lists, and the plays of listed
-attempts, the newest of each batch: neither half-written catalogs nor plays of
-broken-off or replaced imports are seen.  Plays are spread by year and a hash of the library, not
+A reader takes the newest version that `versions` lists, and the play files the newest
+manifest lists, pruned by library bucket and library bounds: neither half-written catalogs
+nor plays of broken-off or replaced imports are seen, and no folder is listed.  A lake
+written before manifests existed is read by its listed attempts until its first commit.  Plays are spread by year and a hash of the library, not
 by library: millions of listeners would be millions of folders.
 """
 
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from listenlake.lake import Lake
 from listenlake.operators.filters import library_bucket, of_library
 from listenlake.schemas import CATALOG_TABLES, PLAYS
+from listenlake.sources.manifest import MANIFEST, Manifest, stats
 
 VERSIONS = T.StructType([
     T.StructField("version", T.LongType()),
@@ -31,6 +34,8 @@ VERSIONS = T.StructType([
     T.StructField("folder", T.StringType()),
     T.StructField("attempt", T.StringType()),
     T.StructField("at", T.LongType()),
+    T.StructField("manifest", T.StringType()),
+    T.StructField("seq", T.LongType()),
 ])
 #: A claim that no listed version follows within so many seconds is left over from a lost import.
 CLAIM_SECONDS = 600
@@ -59,6 +64,7 @@ class LakeStore:
     def __init__(self, spark: SparkSession, base: str, buckets: int = 64):
         self.spark = spark
         self.base = base.rstrip("/")
+        self.manifest = Manifest(self)
         newest = self._newest()
         self.buckets = buckets if newest is None else newest["buckets"]
 
@@ -78,13 +84,19 @@ class LakeStore:
                 pass  # someone else has just made it
         return self
 
-    def _newest(self) -> Row | None:
+    def versions(self) -> DataFrame | None:
+        """The listed commits; None for no lake."""
         try:
-            versions = self.spark.read.schema(VERSIONS).parquet(f"{self.base}/versions")
+            return self.spark.read.schema(VERSIONS).parquet(f"{self.base}/versions")
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
                 return None
             raise
+
+    def _newest(self) -> Row | None:
+        versions = self.versions()
+        if versions is None:
+            return None
         listed = versions.filter("folder is not null")
         return listed.agg(F.max(F.struct("version", "buckets", "folder")).alias("newest")).first()["newest"]
 
@@ -105,8 +117,59 @@ class LakeStore:
             name: self.spark.read.schema(schema).parquet(f"{catalog}/{name}")
             for name, schema in CATALOG_TABLES.items()
         }
-        plays = self.spark.read.schema(STORED_PLAYS).parquet(f"{self.base}/plays").join(self._attempts(), "batch", "left_semi")
-        return Lake(plays=of_library(plays, library, self.buckets), buckets=self.buckets, **tables)
+        return Lake(plays=self.read_plays(library), buckets=self.buckets, **tables)
+
+    def read_plays(self, library: str | None = None) -> DataFrame:
+        """Plays of the files the newest manifest lists; `library` keeps the files of its bucket and bounds."""
+        newest = self.manifest.newest()
+        if newest is None:
+            return of_library(self._legacy_plays(), library, self.buckets)
+        listed = self.manifest.table(newest)
+        if library is not None:
+            bucket = self.spark.range(1).select(library_bucket(F.lit(library), self.buckets)).first()[0]
+            listed = listed.filter((F.col("library_bucket") == bucket) & (F.col("min_library") <= library) & (F.col("max_library") >= library))
+        # The driver lists files to plan a scan in any case; here it reads them from the manifest instead of folders.
+        paths = [r["path"] for r in listed.select("path").collect()]
+        plays = self.manifest.read_files(paths, STORED_PLAYS).withColumn("batch", F.coalesce("attempt", "batch")).select(*STORED_PLAYS.fieldNames())
+        return of_library(plays, library, self.buckets)
+
+    def _legacy_plays(self, files: bool = False) -> DataFrame:
+        """Plays of a lake without a manifest: folders listed, the newest attempt of each batch; `files` adds file path and size."""
+        try:
+            plays = self.spark.read.schema(STORED_PLAYS).parquet(f"{self.base}/plays")
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                plays = self.spark.createDataFrame([], STORED_PLAYS)
+                return plays.selectExpr("*", "'' as path", "0L as bytes").limit(0) if files else plays
+            raise
+        if files:
+            plays = plays.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        return plays.join(self._attempts(), "batch", "left_semi")
+
+    def _files_of_batch(self, old: DataFrame, batch: str, attempt: str) -> DataFrame:
+        """The manifest `old` with `batch`'s earlier tries replaced by the files of `attempt`."""
+        versions = self.versions()
+        gone = [] if versions is None else [r["attempt"] for r in versions.filter(
+            (F.col("batch") == batch) & F.col("attempt").isNotNull() & (F.col("attempt") != attempt)).select("attempt").distinct().collect()]
+        return self.manifest.replace_tries(old, gone, STORED_PLAYS).unionByName(self.manifest.attempt_files(attempt, STORED_PLAYS))
+
+    def _bootstrap(self) -> DataFrame:
+        """Manifest rows of a lake written before manifests: the files of its listed attempts."""
+        if self.versions() is None:
+            return self.spark.createDataFrame([], MANIFEST)
+        return stats(self._legacy_plays(files=True).withColumn("attempt", F.col("batch")))
+
+    def compact_plays(self, target_bytes: int | None = None) -> int | None:
+        """Pack small play files; the new manifest's number, or None when nothing was small enough to pack."""
+        return self.manifest.compact(STORED_PLAYS, *([target_bytes] if target_bytes else []))
+
+    def expire_files(self, keep: int = 2, grace_seconds: int | None = None) -> int:
+        """Delete play files that the newest `keep` manifests do not list; see `Manifest.expire`."""
+        return self.manifest.expire(keep, *([grace_seconds] if grace_seconds is not None else []))
+
+    def _commit(self, batch: str, attempt: str, folder: str | None, version: int | None) -> None:
+        """List `attempt`'s plays (and the catalog `folder`) in a new manifest."""
+        self.manifest.commit(lambda old: self._files_of_batch(old, batch, attempt), batch, folder, version, attempt)
 
     def _attempts(self) -> DataFrame:
         """(batch): the folder name of the plays that count for each batch."""
@@ -114,8 +177,8 @@ class LakeStore:
         return versions.groupBy("batch").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt")).select(
             F.col("attempt").alias("batch"))
 
-    def _list(self, version: int, batch: str, folder: str | None, attempt: str | None) -> None:
-        row = (version, batch, self.buckets, folder, attempt, time.time_ns() // 1000)
+    def _list(self, version: int, batch: str, folder: str | None, attempt: str | None, manifest: str | None = None, seq: int | None = None) -> None:
+        row = (version, batch, self.buckets, folder, attempt, time.time_ns() // 1000, manifest, seq)
         self.spark.createDataFrame([row], VERSIONS).coalesce(1).write.mode("append").parquet(f"{self.base}/versions")
 
     def _claim(self, version: int) -> None:
@@ -148,7 +211,10 @@ class LakeStore:
         if self.version() != based_on:
             raise VersionTaken(f"version {version} of {self.base} is taken")
         self._claim(version)
-        self._list(version, batch, folder, attempt)
+        if attempt is None:
+            self._list(version, batch, folder, attempt)
+        else:
+            self._commit(batch, attempt, folder, version)
         return version
 
     def append_plays(self, plays: DataFrame, batch: str, dedupe: bool = False, commit: bool = True) -> str:
@@ -179,7 +245,7 @@ class LakeStore:
         )
         if commit:
             version = self.version()
-            self._list(-1 if version is None else version, batch, None, attempt)
+            self._commit(batch, attempt, None, -1 if version is None else version)
         return attempt
 
 
