@@ -182,6 +182,19 @@ def _(spark, sf_dir):
     return store.read().plays.groupBy("library", "source").agg(F.count("*").alias("plays"), F.sum("ms_played").alias("total_ms"))
 
 
+@check("append_overlapping_export", """
+select library, source, count(*) as plays, cast(sum(ms_played) as bigint) as total_ms
+from fx_plays group by library, source""")
+def _(spark, sf_dir):
+    # Three quarters of the plays, then an export with two of those quarters again and the last one: every play once.
+    store = _new_store(spark).create()
+    plays = lake(spark, sf_dir).plays
+    part = F.pmod(F.xxhash64(*plays.columns), F.lit(4))
+    store.append_plays(plays.filter(part < 3), "export-1", overlap=True)
+    store.append_plays(plays.filter(part > 0), "export-2", overlap=True)
+    return store.read().plays.groupBy("library", "source").agg(F.count("*").alias("plays"), F.sum("ms_played").alias("total_ms"))
+
+
 @check("report_as_json", tracks_sql())
 def _(spark, sf_dir):
     path = scratch_path(spark, "report")

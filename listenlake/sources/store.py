@@ -217,7 +217,38 @@ class LakeStore:
             self._commit(batch, attempt, folder, version)
         return version
 
-    def append_plays(self, plays: DataFrame, batch: str, dedupe: bool = False, commit: bool = True) -> str:
+    def not_yet_stored(self, plays: DataFrame, batch: str | None = None) -> DataFrame:
+        """Plays of `plays` beyond what the lake holds already: a play the lake has m times and `plays` n times comes max(0, n - m) times.
+
+        Only files of the (year, bucket) folders the new plays touch, and whose library bounds meet theirs, are read;
+        earlier tries of `batch` do not count, as the import replaces them.  Equal plays are counted, not ranked, so a
+        play repeated a third of all times moves one row a task.  Two overlapping imports at the same moment do not see
+        each other's plays.
+        """
+        names = PLAYS.fieldNames()
+        key = [F.xxhash64(*names).alias("_k1"), F.xxhash64(F.lit(1), *names).alias("_k2")]
+        new = plays.select(*names).withColumns({"year": F.year("played_at_date"), "library_bucket": library_bucket(F.col("library"), self.buckets)})
+        touched = new.groupBy("year", "library_bucket").agg(F.min("library").alias("lo"), F.max("library").alias("hi")).collect()
+        listed = self.manifest.table()
+        if touched:
+            near = F.lit(False)
+            for t in touched:
+                same = F.col("year").eqNullSafe(F.lit(t["year"])) & (F.col("library_bucket") == t["library_bucket"])
+                near = near | (same & ~(F.col("max_library") < F.lit(t["lo"])) & ~(F.col("min_library") > F.lit(t["hi"])))
+            listed = listed.filter(near)
+        paths = [r["path"] for r in listed.select("path").collect()] if touched else []
+        stored = self.manifest.read_files(paths, STORED_PLAYS).withColumn("attempt", F.coalesce("attempt", "batch"))
+        versions = self.versions()
+        if batch is not None and versions is not None:
+            gone = [r["attempt"] for r in versions.filter((F.col("batch") == batch) & F.col("attempt").isNotNull()).select("attempt").distinct().collect()]
+            if gone:
+                stored = stored.filter(~F.col("attempt").isin(gone))
+        have = stored.select(*key).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_m"))
+        want = plays.select(*names, *key).groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in names])
+        more = want.join(have, ["_k1", "_k2"], "left").withColumn("_more", F.col("_n") - F.coalesce("_m", F.lit(0))).filter("_more > 0")
+        return more.select(*names, F.explode(F.sequence(F.lit(1), F.col("_more").cast("int"))).alias("_copy")).select(*names)
+
+    def append_plays(self, plays: DataFrame, batch: str, dedupe: bool = False, commit: bool = True, overlap: bool = False) -> str:
         """Add plays under the name `batch`; doing it again replaces all of that batch, and only that.
 
         Each try has a folder name of its own, which is returned; readers see it once it is listed, here
@@ -226,11 +257,14 @@ class LakeStore:
         Spark rebalances folders to even file sizes, so a folder that holds a
         third of the plays is written by many tasks.  Rows sort by library
         inside a file, which lets readers skip pages.  `dedupe` drops plays
-        alike in every column.
+        alike in every column.  `overlap` takes an export that may repeat plays already stored (a re-export that
+        overlaps earlier ones): only what the lake does not hold yet is added, multiplicities kept.
         """
         attempt = uuid.uuid4().hex
         if dedupe:
             plays = plays.select(*PLAYS.fieldNames()).distinct()
+        if overlap:
+            plays = self.not_yet_stored(plays, batch)
         (
             plays.select(*PLAYS.fieldNames())
             .withColumns({
