@@ -21,7 +21,17 @@ IS_GAP[[9, 10, 11, 12, 13, 32]] = True
 _random = np.random.default_rng(20240501)
 _BYTE_VALUE = _random.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_powers: dict[str, np.ndarray] = {}
+#: Module caches of worker processes: emptied when a task ends, as workers live on into other operators' tasks.
+CACHES: list[dict] = []
+
+
+def remembered(cache: dict) -> dict:
+    """`cache`, emptied at the end of every task that `tidy` wraps."""
+    CACHES.append(cache)
+    return cache
+
+
+_powers: dict[str, np.ndarray] = remembered({})
 
 
 def tidy(work: Callable) -> Callable:
@@ -31,6 +41,8 @@ def tidy(work: Callable) -> Callable:
         try:
             yield from work(*args)
         finally:
+            for cache in CACHES:
+                cache.clear()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:

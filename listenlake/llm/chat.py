@@ -33,7 +33,7 @@ LEARNT = "assistant"
 _CONTROL = re.compile(r"\\|###|</turn>")
 _IN_ROLE = re.compile(r"\\|###|</turn>|:")
 _ESCAPED = re.compile(r"\\(\\|###|</turn>|:)")
-_tokenizers: dict[str, object] = {}
+_tokenizers: dict[str, object] = bytewords.remembered({})
 
 
 def escape(text: str, role: bool = False) -> str:

@@ -37,7 +37,7 @@ LEVEL = 3
 #: Tokens of a shard, documents the dictionary is trained on, its bytes, and the bytes of each document it sees.
 SHARD_TOKENS, SAMPLE_DOCS, DICTIONARY_BYTES, SAMPLE_BYTES = 8_000_000, 1_000, 65_536, 16_384
 #: Parts a worker remembers the ids of, by a 64-bit hash; beyond it starts anew.  Late ones are merged at so many.
-REMEMBER, LATE = 1_000_000, 65_536
+REMEMBER, LATE = 250_000, 65_536
 
 # Letters, digits, apostrophe and other signs of ASCII; bytes of other characters are 3.
 _KIND = np.full(256, 3, dtype=np.uint8)
@@ -46,7 +46,7 @@ _KIND[48:58] = 1
 _KIND[97:123] = 0
 _BAR, _QUOTE = ord("|"), ord("'")
 
-_workers: dict[str, "Encoder"] = {}
+_workers: dict[str, "Encoder"] = bytewords.remembered({})
 
 
 class Encoder:

@@ -249,7 +249,7 @@ class Restorer:
         return data, core[plain], stop[plain], doc[plain], found
 
 
-_restorers: dict[str, Restorer] = {}
+_restorers: dict[str, Restorer] = bytewords.remembered({})
 
 
 def restorer(shared) -> Restorer:

@@ -9,8 +9,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch at most: whole texts are long, and workers hold a batch at a time.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch at most: whole texts are long, and workers hold a batch at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 
 _sent: weakref.WeakSet = weakref.WeakSet()
 
@@ -20,6 +20,10 @@ def send_package(spark: SparkSession) -> None:
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = str(spark.conf.get(size)).lower().rstrip("b")
+    if not (given.isdigit() and 0 < int(given) <= BATCH_BYTES):
+        spark.conf.set(size, str(BATCH_BYTES))
     context = spark.sparkContext
     if context in _sent:
         return
