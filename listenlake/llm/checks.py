@@ -227,7 +227,69 @@ def op12(spark, sf_dir):
     return clustered.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
-@query("op11_merkle_manifest")
+
+
+def merkle_sql(levels: int = 8, fanout: int = merkle.FANOUT) -> str:
+    """The manifest in DuckDB, level by level up to `levels` per tree (fanout^levels leaves a source): crc32 from its rule, trees by grouping."""
+    steps = ["crc as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: "
+             "case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, n)) as t)"]
+
+    def f(x: str) -> str:
+        return f"case when {x} is null then '-' else strlen({x}::varchar)::varchar || ':' || {x}::varchar end"
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    fields = f"{f('doc_id')} || {f('source')} || {f('lang')} || {f('n_chars')}"
+    steps.append(f"""d as (
+  select doc_id, source, sha256({fields} || {f('text')}) as leaf, sha256({fields} || {f(f"translate(text, '{upper}', '{lower}')")}) as tleaf,
+    doc_id is not null and xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)),
+      lambda a, b: xor(t[xor(a, b) % 256 + 1], a // 256), 4294967295), 4294967295) % 5 = 0 as tampered
+  from documents, crc
+), dp as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos from d)""")
+
+    def tree(p: str, base: str) -> None:
+        """Levels {p}n0.. of nodes (g, pos, digest) from `base`, counts {p}c.., siblings {p}s.. per node of a group of several."""
+        steps.append(f"{p}n0 as ({base})")
+        for k in range(levels):
+            steps.append(f"""{p}c{k} as (select g, count(*) as n from {p}n{k} group by g),
+{p}s{k} as (
+  select a.g, a.pos, string_agg(b.digest, '' order by b.pos) filter (where b.pos < a.pos) as l,
+    string_agg(b.digest, '' order by b.pos) filter (where b.pos > a.pos) as r
+  from {p}n{k} a join {p}c{k} c on a.g is not distinct from c.g and c.n > 1
+  join {p}n{k} b on a.g is not distinct from b.g and a.pos // {fanout} = b.pos // {fanout}
+  group by a.g, a.pos
+),
+{p}n{k + 1} as (
+  select a.g, a.pos // {fanout} as pos, sha256(string_agg(a.digest, '' order by a.pos)) as digest
+  from {p}n{k} a join {p}c{k} c on a.g is not distinct from c.g and c.n > 1 group by a.g, a.pos // {fanout}
+  union all select a.g, a.pos, a.digest from {p}n{k} a join {p}c{k} c on a.g is not distinct from c.g and c.n = 1
+)""")
+
+    tree("x", "select source as g, pos, leaf as digest from dp")
+    tree("y", f"select 0 as g, row_number() over (order by g nulls first) - 1 as pos, digest, g as source from xn{levels}")
+
+    def fold(p: str, start: str, key: str, pos: str, g: str) -> str:
+        """Per row of `start` (with columns f and proof): folded through the siblings of tree `p`."""
+        body = start
+        for k in range(levels):
+            at = f"{pos} // {fanout ** k}"
+            body = f"""select q.* replace (
+    case when s.pos is null then q.f else sha256(coalesce(s.l, '') || q.f || coalesce(s.r, '')) end as f,
+    q.proof || coalesce(s.l, '') || coalesce(s.r, '') as proof)
+  from ({body}) q left join {p}s{k} s on s.g is not distinct from {g} and s.pos = {at}"""
+        return body
+
+    leaves = "select doc_id, source, leaf, case when tampered then tleaf else leaf end as f, '' as proof, pos as lpos from dp"
+    inner = fold("x", leaves, "doc_id", "q.lpos", "q.source")
+    tops = f"select q.*, y.pos as tpos from ({inner}) q join yn0 y on y.source is not distinct from q.source"
+    outer = fold("y", tops, "doc_id", "q.tpos", "0")
+    return "with " + ",\n".join(steps) + f""",
+sub as (select g, digest as subroot from xn{levels}), root as (select digest as root from yn{levels})
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, f as folded_root, f = root as verified
+from ({outer}) o join sub on sub.g is not distinct from o.source, root
+"""
+
+
+@query("op11_merkle_manifest", merkle_sql())
 def op11(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents")).select(
         "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
