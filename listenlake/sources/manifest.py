@@ -45,6 +45,8 @@ TARGET_BYTES = 128 << 20
 RETRIES = 20
 #: A file that no manifest lists is left so long, as an import may still be writing it.
 GRACE_SECONDS = 3600
+#: A manifest number claimed so long ago and not listed is taken for the claim of a commit that died.
+CLAIM_SECONDS = 600
 
 
 def files(spark: SparkSession):
@@ -131,16 +133,25 @@ class Manifest:
 
         `change` may be called again, on a newer manifest, when another commit took the number first.
         """
-        for _ in range(RETRIES):
+        for tried in range(RETRIES):
             newest = self.newest()
             seq = 0 if newest is None else newest[0] + 1
+            # A number claimed long ago and never listed belongs to a commit that died: it is passed over.
+            while self._abandoned(seq):
+                seq += 1
             name = f"{seq}-{uuid.uuid4().hex}"
             change(self.table(newest)).select(*MANIFEST.fieldNames()).write.parquet(f"{self.base}/manifest/{name}")
             if claim(self.spark, f"{self.base}/claims/m{seq}"):
                 self.store._list(version, batch, folder, attempt, manifest=name, seq=seq)
                 return seq
+            time.sleep(min(2 ** tried, 30) * 0.1)
         raise RuntimeError(f"no manifest number of {self.base} was free in {RETRIES} tries")
 
+    def _abandoned(self, seq: int) -> bool:
+        """Whether number `seq` was claimed over CLAIM_SECONDS ago (and, being above the newest, never listed)."""
+        path, fs = files(self.spark)(f"{self.base}/claims/m{seq}")
+        return bool(fs.exists(path)) and time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > CLAIM_SECONDS
+
     def replace_tries(self, old: DataFrame, gone: list[str], schema: T.StructType) -> DataFrame:
         """`old` without the plays of the tries `gone`: files of those alone leave, mixed files are rewritten."""
         if not gone:

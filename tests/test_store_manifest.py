@@ -84,3 +84,15 @@ def test_overlapping_exports_keep_every_play_once(spark):
     store.append_plays(second, "three", overlap=True)
     store.append_plays(second, "two", overlap=True)
     assert sorted(map(tuple, store.read_plays().select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_commit_that_died_after_its_claim_does_not_block_the_next(spark):
+    from listenlake.sources.manifest import files
+
+    store = LakeStore(spark, scratch_path(spark, "lake"), buckets=2).create()
+    seq = store.manifest.newest()[0]
+    path, fs = files(spark)(f"{store.base}/claims/m{seq + 1}")
+    fs.create(path, False).close()
+    fs.setTimes(path, 0, 0)  # claimed long ago, never listed
+    store.append_plays(plays_of(spark, 4, "x"), "after")
+    assert store.manifest.newest()[0] == seq + 2 and sum(r[2] for r in totals(store)) == 4
