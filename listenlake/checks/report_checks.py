@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from listenlake.checks.fixtures import lake
 from listenlake.checks.registry import check
+from listenlake.functions.text import listening_time
+from listenlake.operators import pages
 from listenlake.operators.filters import drop_unkeyed
 from listenlake.operators.rollup import per_track
 from listenlake.operators.topk import medal, top_k, with_rank
@@ -118,6 +120,16 @@ def _(spark, sf_dir):
     return reports.top_tracks(lake(spark, sf_dir), limit=-1)
 
 
+@check("top_tracks_pages", tracks_sql(limit=10**9))
+def _(spark, sf_dir):
+    # The whole list read page after page by cursors from one stored ranking: equal to the unlimited list.
+    keyed = reports.top_tracks_keyed(lake(spark, sf_dir), limit=-1)
+    ranking = pages.StoredRanking.store(keyed.select("isrc", "title", "artist", "total_ms", "play_count"), "total_ms", "isrc")
+    read = pages.pages(ranking, pages.BLOCK, ["title", "artist", "total_ms", "play_count"])
+    return read.orderBy("rank").withColumn("listening_time", listening_time(F.col("total_ms"))).select(
+        "title", "artist", "total_ms", "play_count", "listening_time")
+
+
 @check("top_tracks_of_library", tracks_sql("p.library = 'L7'", limit=25))
 def _(spark, sf_dir):
     return reports.top_tracks(lake(spark, sf_dir), limit=25, library="L7")
