@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from listenlake.checks.fixtures import lake
 from listenlake.checks.registry import check
 from listenlake.functions.text import listening_time
-from listenlake.operators import pages
+from listenlake.operators import pages, sums
 from listenlake.operators.filters import drop_unkeyed
 from listenlake.operators.rollup import per_track
 from listenlake.operators.topk import medal, top_k, with_rank
@@ -130,6 +130,13 @@ def _(spark, sf_dir):
         "title", "artist", "total_ms", "play_count", "listening_time")
 
 
+@check("top_tracks_from_sums", tracks_sql("p.played_at_date between '1995-03-17' and '2000-10-09'", limit=25))
+def _(spark, sf_dir):
+    # Edge days, edge months and whole years of stored sums instead of plays.
+    lk = lake(spark, sf_dir)
+    return reports.top_tracks(lk, limit=25, start="1995-03-17", end="2000-10-09", sums=sums.Sums.build(lk))
+
+
 @check("top_tracks_of_library", tracks_sql("p.library = 'L7'", limit=25))
 def _(spark, sf_dir):
     return reports.top_tracks(lake(spark, sf_dir), limit=25, library="L7")

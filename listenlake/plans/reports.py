@@ -58,12 +58,13 @@ def general_stats(lake: Lake, start=None, end=None, library: str | None = None,
 
 def top_tracks_keyed(lake: Lake, limit: int = 10, param: int = 0, start=None, end=None,
                      library: str | None = None, per_library: bool = False,
-                     artist_display: str = "all") -> DataFrame:
-    """`top_tracks` with the keys still on it, unordered."""
+                     artist_display: str = "all", sums=None) -> DataFrame:
+    """`top_tracks` with the keys still on it, unordered; with `sums` (`operators.sums.Sums`) totals come from them, not from plays."""
     tracks = lake.tracks.select("isrc", "title", "artist_id")
     if artist_display == "main":
         tracks = tracks.join(lake.artists.select(F.col("id").alias("artist_id")), "artist_id", "left_semi")
-    rolled = rollup(lake, start, end, library, per_library).drop("first_listen").withColumnRenamed(
+    rolled = (sums.rollup(start, end, library, per_library) if sums is not None else rollup(lake, start, end, library, per_library))
+    rolled = rolled.drop("first_listen").withColumnRenamed(
         "track_isrc", "isrc"
     )
     ranked = top(rolled.join(tracks, "isrc"), metric(param), ["isrc"], limit, per_library)
@@ -72,9 +73,9 @@ def top_tracks_keyed(lake: Lake, limit: int = 10, param: int = 0, start=None, en
 
 def top_tracks(lake: Lake, limit: int = 10, param: int = 0, start=None, end=None,
                library: str | None = None, per_library: bool = False,
-               artist_display: str = "all") -> DataFrame:
+               artist_display: str = "all", sums=None) -> DataFrame:
     """{title, artist, total_ms, play_count, listening_time} per recording."""
-    named = top_tracks_keyed(lake, limit, param, start, end, library, per_library, artist_display)
+    named = top_tracks_keyed(lake, limit, param, start, end, library, per_library, artist_display, sums)
     named = _ordered(named, metric(param), ["isrc"], per_library)
     return _finish(named, ["title", "artist"], per_library)
 
