@@ -79,3 +79,19 @@ def test_an_iban_ends_where_its_country_says(spark):
         assert row.n_iban == 1 and row.n_date == text.count("2024-01-02") and row.n_card == text.count("4111 "), text
     assert {r.text[4:4 + len(x)] for r, x in zip(got, [x for x in ibans for _ in behind])}.isdisjoint(ibans)
     assert [r.text for r in run(spark, [r.text for r in got], inverse=True)] == texts
+
+
+def test_long_domains_and_local_parts_do_not_break_the_pattern(spark):
+    """A domain of 5,000 labels once overflowed Java's stack; a 100,000-character local part was quadratic."""
+    import time
+
+    from listenlake.llm import pii
+
+    texts = ["a@" + "b." * 5000 + "com tail", "x" * 100_000 + "@example.org", "plain text"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    started = time.time()
+    out = {r["doc_id"]: r for r in pii.pseudonymize(df).collect()}
+    assert time.time() - started < 120
+    assert out[0]["text"].endswith("@" + "b." * 5000 + "com tail") and not out[0]["text"].startswith("a@")
+    assert len(out[1]["text"]) == len(texts[1]) and out[1]["text"] != texts[1] and out[1]["text"].endswith("@example.org")
+    assert out[2]["text"] == "plain text"
