@@ -25,12 +25,13 @@ RULES = (
 )
 #: Host labels that mark a page as unwanted when the templates are judged.
 BLOCK_WORDS = ("casino", "bets", "pills", "spam", "adult", "porn")
-#: Levels of the tree; deeper segments share one last template part.
+#: Levels of the tree that may merge or generalise; the segments below stay one literal part of the template
+#: (each generalised alone), so branches that differ deeper are still told apart, each by its own labels.
 DEPTH = 6
 #: A node with so many literal branches, met fewer than twice each on average, is a variable.
 FANOUT = 50
 #: Weight of the overall blocked share in a template's purity, and the purity that rejects.
-SMOOTHING, PURITY, LEAST_LABELS = 2.0, 0.7, 3
+SMOOTHING, PURITY = 2.0, 0.7
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -63,9 +64,10 @@ def general(segment: Column) -> Column:
 
 
 def segments(path: Column, depth: int = DEPTH) -> Column:
-    """Generalised segments of a path, the part below `depth` as one."""
+    """Generalised segments of a path; those below `depth` joined by `/` as one last part."""
     parts = F.transform(F.array_remove(F.split(path, "/"), ""), general)
-    return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(F.slice(parts, 1, depth), F.array(F.lit("{deep}"))))
+    deep = F.array_join(F.slice(parts, depth + 1, F.greatest(F.size(parts) - depth, F.lit(1))), "/")
+    return F.when(F.size(parts) <= depth, parts).otherwise(F.concat(F.slice(parts, 1, depth), F.array(deep)))
 
 
 def grow_tree(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -108,19 +110,22 @@ def grow_tree(leaves: DataFrame, fanout: int = FANOUT) -> DataFrame:
     return tree
 
 
-def url_filter(pages: DataFrame, url: str = "url", rules=RULES, block_words=BLOCK_WORDS) -> DataFrame:
+def url_filter(pages: DataFrame, url: str = "url", rules=RULES, block_words=BLOCK_WORDS, labels: str | None = None) -> DataFrame:
     """`pages` with host, path, rule, template, purity and verdict.
 
-    Labels for the templates come from the rules and from hosts that carry a block word.
-    A template is rejected if its share of blocked labels, smoothed by the overall share, is
-    at least PURITY; one with under LEAST_LABELS labels is allowed.
+    Labels for the templates come from the column `labels` of pages (1 unwanted, 0 wanted) where it
+    has one, else from the rules and from hosts that carry a block word.  A template is rejected if
+    its share of blocked labels, smoothed by the overall share, is at least PURITY: few labels keep
+    it near the overall share; a template without any label is allowed.  Very long paths: segments below DEPTH form one part each page.
     """
     host, path = split_url(F.col(url))
     made = {"host", "path", "rule", "template", "purity", "verdict"}
-    base = pages.drop(*[c for c in pages.columns if c.lower() in made and c != url]).withColumns({"host": host, "path": path})
+    base = pages.drop(*[c for c in pages.columns if c.lower() in made and c not in (url, labels)]).withColumns({"host": host, "path": path})
     base = base.withColumn("_rule", match_rule(F.col("host"), F.col("path"), rules)).withColumn("_segs", segments(F.col("path")))
     named = reduce(lambda a, b: a | b, [F.col("host").contains(w) for w in block_words])
     label = F.when(named, 1).when(F.col("_rule.verdict") == "block", 1).when(F.col("_rule.verdict") == "allow", 0)
+    if labels is not None:
+        label = F.coalesce(F.col(labels).cast("int"), label)
     leaves = cut_lineage(base.groupBy("host", F.col("_segs").alias("segs")).agg(
         F.count("*").alias("n"), F.count(label).alias("labelled"), F.coalesce(F.sum(label), F.lit(0)).alias("blocked"),
     ))
@@ -129,9 +134,10 @@ def url_filter(pages: DataFrame, url: str = "url", rules=RULES, block_words=BLOC
     tree = grow_tree(leaves)
     judged = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")).select(
         "host", "template", ((F.col("blocked") + SMOOTHING * prior) / (F.col("labelled") + SMOOTHING)).alias("purity"),
-        (F.col("labelled") >= LEAST_LABELS).alias("known"),
+        (F.col("labelled") > 0).alias("known"),
     )
     leaf = cut_lineage(tree.select("host", "segs", "template").join(judged, ["host", "template"]))
+    # Without a single label a template gives no evidence: the prior alone would block all such when every label is a block.
     own = F.when(F.col("known") & (F.col("purity") >= PURITY), "block").otherwise("allow")
     return base.withColumnRenamed("_segs", "segs").join(small(leaf), ["host", "segs"], "left").withColumns({
         "rule": F.col("_rule.rule"), "verdict": F.coalesce(F.col("_rule.verdict"), own),

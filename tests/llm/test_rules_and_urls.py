@@ -78,3 +78,24 @@ def test_many_rare_branches_are_one_variable(spark):
 
 def test_urls_on_no_rows(spark):
     assert urls.url_filter(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_labelled_bad_branch_of_a_good_host_and_deep_branches(spark):
+    from listenlake.llm import urls
+
+    rows = []
+    for i in range(40):
+        rows.append((len(rows), f"https://good.org/blog/post{i}x", 0))
+        rows.append((len(rows), f"https://good.org/shop/item{i}x", 1))
+        # Below the sixth segment the branches differ: each keeps its own template and labels.
+        rows.append((len(rows), "https://deep.org/a/b/c/d/e/f/good/page", 0))
+        rows.append((len(rows), "https://deep.org/a/b/c/d/e/f/spamx/page", 1))
+    pages = spark.createDataFrame(rows, "page_id long, url string, bad int")
+    got = {r["url"]: r for r in urls.url_filter(pages, labels="bad").collect()}
+    assert got["https://good.org/shop/item3x"]["verdict"] == "block" and got["https://good.org/blog/post3x"]["verdict"] == "allow"
+    deep_good, deep_bad = got["https://deep.org/a/b/c/d/e/f/good/page"], got["https://deep.org/a/b/c/d/e/f/spamx/page"]
+    assert deep_good["template"] != deep_bad["template"]
+    assert deep_bad["verdict"] == "block" and deep_good["verdict"] == "allow"
+    # Without labels, nothing on these hosts is unwanted.
+    unlabelled = urls.url_filter(pages.drop("bad")).collect()
+    assert {r["verdict"] for r in unlabelled} == {"allow"}, [(r["url"], r["purity"]) for r in unlabelled if r["verdict"] != "allow"][:3]
