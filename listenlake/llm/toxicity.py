@@ -37,8 +37,9 @@ SYMBOLS = 28
 EDGE, OTHER = 26, 27
 #: At most about so many labelled rows are learnt from, chosen by hash.
 LABELLED_ROWS = 400_000
-#: A telling word occurs in so many learnt documents at least, and its smoothed toxic share is so high.
-LEAST_DOCS, LEAST_SHARE, MOST_WORDS = 5, 0.5, 5_000
+#: A telling word occurs in so many learnt documents at least, and its smoothed toxic share is so high.  Their
+#: number is bounded by the labelled rows learnt from (LABELLED_ROWS), each word being in LEAST_DOCS of them.
+LEAST_DOCS, LEAST_SHARE = 5, 0.5
 SMOOTHING = 4.0
 REJECT = 0.7
 # The letters a character is written for.
@@ -340,7 +341,7 @@ def telling_words(docs: DataFrame, labels: DataFrame, shared, rows: int = LABELL
         return 0.0, {}
     base = whole["toxic"] / whole["docs"]
     best = words.filter("word <> ''").withColumn("share", (F.col("toxic") + SMOOTHING * base) / (F.col("docs") + SMOOTHING)).filter(
-        F.col("share") >= LEAST_SHARE).orderBy(F.desc("docs"), "word").limit(MOST_WORDS).collect()
+        F.col("share") >= LEAST_SHARE).collect()
     # A share of one would hide every other word.
     return min(base, 0.5), {r["word"]: min(r["share"], 1 - 1e-6) for r in best}
 
@@ -349,7 +350,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     """`docs` with held_out, score and predicted.
 
     Three passes over the texts: the corpus's character counts, words of labelled documents, scores.
-    What goes from pass to pass is bounded: SYMBOLS ** ORDER counts and MOST_WORDS words.
+    What goes from pass to pass is bounded: SYMBOLS ** ORDER counts and the telling words of at most
+    LABELLED_ROWS labelled rows.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
