@@ -15,6 +15,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Lists per group of up to so many rows are cut in each map task before the shuffle (Spark's default: 1,000).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
