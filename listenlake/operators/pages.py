@@ -67,21 +67,24 @@ class StoredRanking:
         last = page.orderBy(F.desc("rank")).select("rank", self.by, self.key).first()
         return None if last is None else Cursor(int(last["rank"]), last[self.by], last[self.key])
 
+    def cursors(self, size: int) -> DataFrame:
+        """(page, rank, metric, key): the cursor in front of every page of `size` rows; the first page's is rank 0."""
+        ends = self.table().filter(F.col("rank") % size == 0).select(
+            (F.col("rank") / size).cast("int").alias("page"), F.col("rank").cast("long").alias("rank"),
+            F.col(self.by).alias("metric"), F.col(self.key).alias("key"))
+        first = self.spark.range(1).select(F.lit(0).alias("page"), F.lit(0).cast("long").alias("rank"))
+        return ends.unionByName(first, allowMissingColumns=True)
+
 
 def pages(ranking: StoredRanking, size: int, columns: Sequence[str]) -> DataFrame:
     """Every page of a stored ranking, one after another by cursors, with its number: what a reader paging to the end sees.
 
-    Each step reads one row, the page's last, for the next cursor; the pages themselves stay lazy reads of their parts.
+    The cursors of all pages are read from the ranking in one go, and each page is the `size` rows behind its own: one
+    plan of fixed size however many pages there are.
     """
-    out, cursor, number = None, None, 0
-    while True:
-        page = ranking.page(cursor, size)
-        after = ranking.cursor(page)
-        if after is None:
-            break
-        part = page.select(*columns, "rank", F.lit(number).alias("page"))
-        out = part if out is None else out.unionByName(part)
-        if after.rank - (cursor.rank if cursor else 0) < size:
-            break
-        cursor, number = after, number + 1
-    return out if out is not None else ranking.table().select(*columns, "rank", F.lit(0).alias("page")).limit(0)
+    if size < 1:
+        raise ValueError("a page holds at least one row")
+    cursors = ranking.cursors(size).select("page", F.col("rank").alias("_after"))
+    paged = ranking.table().withColumn("page", F.floor((F.col("rank") - 1) / size).cast("int"))
+    read = paged.join(cursors, "page").filter((F.col("rank") > F.col("_after")) & (F.col("rank") <= F.col("_after") + size))
+    return read.select(*columns, "rank", "page")

@@ -39,3 +39,15 @@ def test_a_cursor_of_another_ranking_starts_behind_its_row(spark):
 def test_empty_ranking(spark):
     ranking = pages.StoredRanking.store(spark.createDataFrame([], "key string, m long"), "m", "key")
     assert ranking.page(None, 5).count() == 0 and pages.pages(ranking, 5, ["key"]).count() == 0
+
+
+def test_reading_all_pages_is_one_plan_of_fixed_size(spark):
+    frame = spark.createDataFrame([(f"k{i:03d}", i // 7) for i in range(120)], "key string, n long")
+    ranking = pages.StoredRanking.store(frame, "n", "key")
+    read = pages.pages(ranking, 5, ["key"])
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+    want = sorted(((f"k{i:03d}", i // 7) for i in range(120)), key=lambda r: (-r[1], r[0]))
+    got = read.orderBy("rank").collect()
+    assert [(r["key"], r["page"]) for r in got] == [(k, i // 5) for i, (k, _) in enumerate(want)]
+    cursors = {r["page"]: (r["rank"], r["metric"], r["key"]) for r in ranking.cursors(5).collect()}
+    assert cursors[3] == (15, want[14][1], want[14][0]) and cursors[0] == (0, None, None)
