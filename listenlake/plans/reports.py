@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from listenlake.functions.text import listening_time
 from listenlake.lake import Lake
-from listenlake.operators.credits import all_artists, tracks_of_artist, with_display_names
+from listenlake.operators.credits import (
+    all_artists, number_artists, per_library_artist, tracks_of_artist, with_display_names,
+)
 from listenlake.operators.rollup import detail_stats, rollup, totals, track_count
 from listenlake.operators.topk import metric, top
 
@@ -82,10 +84,15 @@ def top_tracks(lake: Lake, limit: int = 10, param: int = 0, start=None, end=None
 
 def top_artists_keyed(lake: Lake, limit: int = 10, param: int = 0, start=None, end=None,
                       library: str | None = None, per_library: bool = False) -> DataFrame:
-    lead = ["library"] if per_library else []
-    credited = rollup(lake, start, end, library, per_library).join(all_artists(lake), "track_isrc")
-    per_artist = credited.groupBy(*lead, "artist_id").agg(*totals())
-    named = per_artist.join(lake.artists.select(F.col("id").alias("artist_id"), "name"), "artist_id")
+    names = lake.artists.select(F.col("id").alias("artist_id"), "name")
+    rolled = rollup(lake, start, end, library, per_library)
+    if per_library:
+        # Numbers follow the ids, so lists are cut by them; only what is left is named.  A second cut, as an id may have two names.
+        numbers = number_artists(names.dropna(subset=["artist_id"]))
+        ranked = top(per_library_artist(lake, rolled, numbers), metric(param), ["artist_no"], limit, per_library)
+        named = ranked.join(numbers, "artist_no").drop("artist_no").join(names, "artist_id")
+    else:
+        named = rolled.join(all_artists(lake), "track_isrc").groupBy("artist_id").agg(*totals()).join(names, "artist_id")
     return top(named, metric(param), ["artist_id"], limit, per_library)
 
 

@@ -2,7 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from listenlake.operators import credits
+from listenlake.operators.rollup import count_entities, per_track
 from listenlake.plans import details, reports
+from listenlake.session import tasks_for
 
 
 def test_general_stats_counts_time_of_unresolved_plays(small):
@@ -142,3 +145,43 @@ def test_dashboard_scans_plays_once(spark, small, tmp_path):
     final = plan.split("Initial Plan")[0]
     assert final.count("ms_played") > 0
     assert sum("FileScan parquet" in line and "ms_played" in line for line in final.splitlines()) == 1
+
+
+@pytest.mark.parametrize("large", [1_000_000, 2, 0])
+def test_sums_by_library_and_artist_unfold_lists_of_numbers(make_lake, large, monkeypatch):
+    monkeypatch.setattr(credits, "LARGE_LIBRARY", large)
+    lk = make_lake(
+        tracks=[("t1", "One", "a1", "b1"), ("t1", "One", "a2", "b1"), ("t2", "Two", None, "b1"), ("t3", "Three", "a9", None)],
+        features=[("t1", "a1"), ("t1", "a3"), ("t2", "a1"), ("t2", "a1")],
+        plays=[("x", "t1", "2020-01-01", 1), ("x", "t1", "2020-01-02", 2), ("x", "t2", "2020-01-01", 4),
+               (None, "t2", "2020-01-01", 8), ("y", "t3", "2020-01-01", 16), ("y", None, "2020-01-01", 32)],
+    )
+    numbers = credits.number_artists(credits.all_artists(lk))
+    summed = credits.per_library_artist(lk, per_track(lk.plays, ["library"]), numbers)
+    # The shuffle to a library carries lists: nothing is unfolded below it.
+    plan = summed._jdf.queryExecution().optimizedPlan().toString()
+    assert large < 1_000_000 or plan.index("Generate") < plan.index("RepartitionByExpression")
+    got = summed.join(numbers, "artist_no").select("library", "artist_id", "total_ms", "play_count").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([
+        ("x", "a1", 7, 3), ("x", "a2", 3, 2), ("x", "a3", 3, 2), ("x", None, 4, 1),
+        (None, "a1", 8, 1), (None, None, 8, 1), ("y", "a9", 16, 1),
+    ], key=str)
+
+
+def test_top_artists_per_library_skips_artists_without_id_before_the_cut(make_lake):
+    lk = make_lake(
+        artists=[("a1", "Ann", 1), ("a1", "Anne", 2), (None, "Nobody", 3), ("a2", "Bob", 4)],
+        tracks=[("t1", "One", "a1", "b1"), ("t2", "Two", None, "b1"), ("t3", "Three", "a2", "b1")],
+        plays=[("x", "t1", "2020-01-01", 40_000), ("x", "t2", "2020-01-01", 90_000), ("x", "t3", "2020-01-01", 30_000)],
+    )
+    got = reports.top_artists(lk, limit=3, per_library=True).select("name", "total_ms").collect()
+    assert sorted(map(tuple, got)) == [("Ann", 40_000), ("Anne", 40_000), ("Bob", 30_000)]
+
+
+def test_distinct_values_are_counted_without_holding_a_row_once_for_each_count(spark):
+    rows = spark.createDataFrame([("x", "t1", "a1", None), ("x", "t1", "a2", "b"), ("x", "t2", "a1", "b"), (None, None, "a1", None)],
+                                 "library string, isrc string, artist_id string, album_id string")
+    counted = count_entities(rows, "library", {"tracks": "isrc", "artists": "artist_id", "albums": "album_id"}, 3)
+    assert "Expand" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, counted.collect()), key=str) == [("x", 2, 2, 1), (None, 0, 1, 0)]
+    assert [tasks_for(spark, n) for n in (0, 500_000 * 9, 500_000 * 9 + 1)] == [2, 9, 10]
