@@ -46,6 +46,21 @@ def rollup(lake: Lake, start=None, end=None, library: str | None = None, per_lib
     return per_track(plays, ["library"] if per_library else [])
 
 
+def count_entities(rows: DataFrame, group: str, columns: dict[str, str], tasks: int) -> DataFrame:
+    """Per `group`, the number of distinct values of each of `columns` (name in the result: column; one type); nulls do not count.
+
+    Every value is a row of its own and copies are dropped in `tasks` tasks, so what a task holds depends on its rows
+    alone; several distinct counts side by side hold every row once for each count.
+    """
+    kinds = list(columns)
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("_kind"), F.col(columns[c]).alias("_value")) for k, c in enumerate(kinds)]))
+    parts = rows.select(group, value.alias("_part")).select(group, "_part.*")
+    distinct = parts.repartition(tasks, group, "_kind", "_value").distinct()
+    return distinct.groupBy(group).agg(*[
+        F.count_if((F.col("_kind") == k) & F.col("_value").isNotNull()).alias(name) for k, name in enumerate(kinds)
+    ])
+
+
 def track_count() -> Column:
     """Number of recordings in per-track rows."""
     return F.count_if(F.col("track_isrc") != UNRESOLVED)
