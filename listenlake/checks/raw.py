@@ -123,24 +123,21 @@ def _bundle(rows: DataFrame, columns: list[str], build, suffix: str) -> DataFram
 
 def workbook_bytes(rows: pd.DataFrame, number: int) -> bytes:
     """A small workbook: a cover sheet and the history sheet, strings inline."""
-    def cell(letter: str, line: int, value) -> str:
-        if value is None or value != value:
-            return f'<c r="{letter}{line}"/>'
-        if isinstance(value, str):
-            return f'<c r="{letter}{line}" t="inlineStr"><is><t>{escape(value)}</t></is></c>'
-        return f'<c r="{letter}{line}"><v>{value}</v></c>'
-
-    letters = "ABCDEFGHIJ"
-    lines = [list(rows.columns), *rows.itertuples(index=False, name=None)]
-    body = "".join(
-        f'<row r="{i}">' + "".join(cell(letters[j], i, v) for j, v in enumerate(line)) + "</row>"
-        for i, line in enumerate(lines, start=1)
-    )
+    def cells(letter: str, values: list) -> list[str]:
+        return [
+            f'<c r="{letter}{i}"/>' if v is None or v != v
+            else f'<c r="{letter}{i}" t="inlineStr"><is><t>{escape(v) if "&" in v or "<" in v or ">" in v else v}</t></is></c>'
+            if isinstance(v, str) else f'<c r="{letter}{i}"><v>{v}</v></c>'
+            for i, v in enumerate(values, start=1)
+        ]
+
+    columns = [cells(letter, [name, *rows[name].tolist()]) for letter, name in zip("ABCDEFGHIJ", rows.columns)]
+    body = "".join(f'<row r="{i}">{"".join(line)}</row>' for i, line in enumerate(zip(*columns), start=1))
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     link = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     relation = "http://schemas.openxmlformats.org/package/2006/relationships"
     buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as book:
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as book:
         book.writestr("xl/workbook.xml", f'<workbook {main} {link}><sheets>'
                       f'<sheet name="00_cover" sheetId="1" r:id="rId1"/>'
                       f'<sheet name="{WORKBOOK_SHEET}" sheetId="2" r:id="rId2"/></sheets></workbook>')
@@ -183,6 +180,11 @@ def history_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("value")
 
 
+def write_history_files(arrays: DataFrame, path: str) -> None:
+    """One file per array, compressed: as plain text the exports would be many times the tables they are made of."""
+    arrays.write.option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
+
+
 # --- The same rows as DuckDB text --------------------------------------------
 
 SQL = f"""

@@ -7,7 +7,6 @@ date, time, arrival); `arrival` is (file, pos), the order of import.
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
@@ -89,6 +88,9 @@ def normalize_a(history: DataFrame, library: Column | str = "") -> DataFrame:
 # --- Platform B: workbook ---------------------------------------------------
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_ROWS, _ROW, _CELL, _TEXT = f"{_MAIN}sheetData", f"{_MAIN}row", f"{_MAIN}c", f"{_MAIN}t"
+#: Bytes parsed at a time: the rows of a piece stay in the processor cache.
+_PIECE = 1 << 14
 _LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
@@ -113,7 +115,7 @@ def _shared_strings(book: zipfile.ZipFile) -> list[str]:
 def _column(cell: ElementTree.Element, place: int) -> str:
     """Letters of a cell's column: from its reference, or by its place where it has none."""
     if cell.get("r"):
-        return re.sub(r"\d+$", "", cell.get("r"))
+        return cell.get("r").rstrip("0123456789")
     letters, place = "", place + 1
     while place:
         place, rest = divmod(place - 1, 26)
@@ -124,6 +126,9 @@ def _column(cell: ElementTree.Element, place: int) -> str:
 def _cell(cell: ElementTree.Element, shared: list[str]) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
+        # As nearly every cell is: one item that holds one plain text.
+        if len(cell) == 1 and len(cell[0]) == 1 and cell[0][0].tag == _TEXT:
+            return cell[0][0].text or None
         return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) or None
     value = cell.findtext(f"{_MAIN}v")
     if kind == "s" and value is not None:
@@ -131,15 +136,33 @@ def _cell(cell: ElementTree.Element, shared: list[str]) -> str | None:
     return value or None
 
 
+def _stream_rows(part) -> Iterator[ElementTree.Element]:
+    """Row elements of a sheet, a piece of the file at a time: Python sees whole rows only, not the end of every element."""
+    builder = ElementTree.TreeBuilder()
+    parser = ElementTree.XMLParser(target=builder)
+    rows = None
+    while piece := part.read(_PIECE):
+        parser.feed(piece)
+        if rows is None:
+            # The tree as far as it is built.
+            root = builder.close()
+            rows = root.find(_ROWS) if root is not None else None
+        if rows is not None:
+            # The last row may go on in the next piece.
+            whole = rows[:-1]
+            yield from (row for row in whole if row.tag == _ROW)
+            del rows[:len(whole)]
+    parser.close()
+    yield from (row for row in rows if row.tag == _ROW) if rows is not None else ()
+
+
 def _sheet_rows(content: bytes, sheet: str) -> Iterator[dict[str, str | None]]:
     """Rows of one sheet as {column letters: text}, read as a stream."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
         shared = _shared_strings(book)
         with book.open(_sheet_part(book, sheet)) as part:
-            for _, row in ElementTree.iterparse(part):
-                if row.tag == f"{_MAIN}row":
-                    yield {_column(c, k): _cell(c, shared) for k, c in enumerate(row.iter(f"{_MAIN}c"))}
-                    row.clear()
+            for row in _stream_rows(part):
+                yield {_column(c, k): _cell(c, shared) for k, c in enumerate(row.iter(_CELL))}
 
 
 def unpack_workbooks(files: DataFrame, sheet: str = WORKBOOK_SHEET) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import io
 import json
 import zipfile
 
@@ -7,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from listenlake.checks import raw
 from listenlake.checks.raw import workbook_bytes
 from listenlake.operators import filters
 from listenlake.plans import reports
-from listenlake.schemas import HISTORY_B, PLAYS
+from listenlake.schemas import HISTORY_B, PLAYS, WORKBOOK_SHEET
 from listenlake.sources import history
 from listenlake.session import checkpoint_root
 from listenlake.sources.store import LakeStore, VersionTaken, write_records
@@ -234,3 +236,22 @@ def test_records_round_trip(spark, tmp_path, small):
     report = reports.top_tracks(small)
     write_records(report, str(tmp_path / "out"))
     assert sorted(rows(spark.read.schema(report.schema).json(str(tmp_path / "out")))) == sorted(rows(report))
+
+
+@pytest.mark.parametrize("piece", [1, 7, 100, 1 << 20])
+def test_sheet_rows_are_whole_wherever_a_piece_of_the_file_ends(piece, monkeypatch):
+    monkeypatch.setattr(history, "_PIECE", piece)
+    frame = pd.DataFrame({"Artist": ["A & <B>", None, "C"], "Song Title": ["é", "x" * 300, ""], "Listening Time": [1.5, 2.0, 3.0]})
+    got = list(history._sheet_rows(raw.workbook_bytes(frame, 1), WORKBOOK_SHEET))
+    assert got == [{"A": "Artist", "B": "Song Title", "C": "Listening Time"}, {"A": "A & <B>", "B": "é", "C": "1.5"},
+                   {"A": None, "B": "x" * 300, "C": "2.0"}, {"A": "C", "B": None, "C": "3.0"}]
+    assert list(history._stream_rows(io.BytesIO(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"/>'))) == []
+
+
+def test_history_files_of_the_check_are_compressed_and_read_whole(spark, tmp_path):
+    records = [{"ts": f"2020-01-{i:02d}T00:00:00Z", "ms_played": i} for i in range(1, 29)]
+    arrays = spark.createDataFrame([(json.dumps(records),), (json.dumps(records[:3]),)], "value string")
+    raw.write_history_files(arrays, str(tmp_path / "out"))
+    assert len(list((tmp_path / "out").glob("part-*.gz"))) == 2
+    got = history.read_history_json(spark, str(tmp_path / "out"), name_glob="part-*").select("ts", "ms_played").collect()
+    assert sorted(tuple(r) for r in got) == sorted((r["ts"], r["ms_played"]) for r in records + records[:3])
