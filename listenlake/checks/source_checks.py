@@ -27,7 +27,7 @@ RAW_B = ", ".join(f'"{name}"' for name in HISTORY_B.fieldNames())
 @check("read_history_json", f"{raw.SQL} select {RAW_A} from raw_a")
 def _(spark, sf_dir):
     path = scratch_path(spark, "exports")
-    raw.history_arrays(spark, sf_dir).write.option("maxRecordsPerFile", 1).text(path)
+    raw.write_history_files(raw.history_arrays(spark, sf_dir), path)
     return history.read_history_json(spark, path, name_glob="part-*").select(*HISTORY_A.fieldNames())
 
 
