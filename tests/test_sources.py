@@ -252,6 +252,7 @@ def test_history_files_of_the_check_are_compressed_and_read_whole(spark, tmp_pat
     records = [{"ts": f"2020-01-{i:02d}T00:00:00Z", "ms_played": i} for i in range(1, 29)]
     arrays = spark.createDataFrame([(json.dumps(records),), (json.dumps(records[:3]),)], "value string")
     raw.write_history_files(arrays, str(tmp_path / "out"))
-    assert len(list((tmp_path / "out").glob("part-*.gz"))) == 2
+    names = [f.name for f in (tmp_path / "out").glob("part-*")]
+    assert len(names) >= 2 and all(n.endswith(".gz") for n in names)
     got = history.read_history_json(spark, str(tmp_path / "out"), name_glob="part-*").select("ts", "ms_played").collect()
     assert sorted(tuple(r) for r in got) == sorted((r["ts"], r["ms_played"]) for r in records + records[:3])
