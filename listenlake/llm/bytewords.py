@@ -34,15 +34,19 @@ def remembered(cache: dict) -> dict:
 _powers: dict[str, np.ndarray] = remembered({})
 
 
-def tidy(work: Callable) -> Callable:
-    """`work` over batches that at its end gives freed memory back, as workers live on between tasks."""
+def tidy(work: Callable, keep: tuple[dict, ...] = ()) -> Callable:
+    """`work` over batches that at its end gives freed memory back, as workers live on between tasks.
+
+    Caches of `keep` stay for the next task of this kind; one of another kind empties them.
+    """
     @wraps(work)
     def run(*args) -> Iterator[pa.RecordBatch]:
         try:
             yield from work(*args)
         finally:
             for cache in CACHES:
-                cache.clear()
+                if not any(cache is x for x in keep):
+                    cache.clear()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:

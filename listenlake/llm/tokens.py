@@ -12,6 +12,7 @@ id width, SHA-256 of the dictionary, MAGIC.  One document is read with two range
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -36,32 +37,52 @@ END_ID = 2
 LEVEL = 3
 #: Tokens of a shard, documents the dictionary is trained on, its bytes, and the bytes of each document it sees.
 SHARD_TOKENS, SAMPLE_DOCS, DICTIONARY_BYTES, SAMPLE_BYTES = 8_000_000, 1_000, 65_536, 16_384
-#: Parts a worker remembers the ids of, by a 64-bit hash; beyond it starts anew.  Late ones are merged at so many.
-REMEMBER, LATE = 250_000, 65_536
-
-# Letters, digits, apostrophe and other signs of ASCII; bytes of other characters are 3.
+#: Parts a worker remembers the ids of, by a 64-bit hash, from one encoding task to the next; beyond it, or so many
+#: ids a part, it starts anew.  Late ones are merged at so many.
+REMEMBER, REMEMBER_IDS, LATE = 1_000_000, 8, 32_768
+#: Parts the library is asked for at once, as one text with a word between them whose id tells where each ends.
+ASK, MARK = 256, "0"
+#: Bytes of texts worked on together: arrays of words and ids are many times as large.
+ROUND_BYTES = 1 << 18
+
+# Letters, digits, apostrophe and other signs of ASCII; bytes of other characters are 3, those of Latin-1 letters 0 (`kinds`).
 _KIND = np.full(256, 3, dtype=np.uint8)
 _KIND[:128] = 2
 _KIND[48:58] = 1
 _KIND[97:123] = 0
 _BAR, _QUOTE = ord("|"), ord("'")
+# First byte of U+00C0 to U+00FF, and the second of the two of them that are no letters.
+_LATIN, _TIMES, _DIVIDED = 0xC3, 0x97, 0xB7
 
 _workers: dict[str, "Encoder"] = bytewords.remembered({})
 
 
+def kinds(data: np.ndarray) -> np.ndarray:
+    """What each byte of valid UTF-8 is part of; capital Latin-1 letters become one small letter each, so they count as such."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data == _LATIN)
+    lead = lead[(data[lead + 1] != _TIMES) & (data[lead + 1] != _DIVIDED)]
+    kind[lead] = kind[lead + 1] = 0
+    return kind
+
+
 class Encoder:
     """Ids of whole texts from the library's ids of their distinct parts.
 
     Texts are cut where the tokenizer always cuts: at white space and between a letter or a digit
-    and another ASCII character.  Words with an apostrophe or a bar stay in one piece, as rules and
-    special tokens may reach across; characters beyond ASCII stay with their neighbours.
+    and another ASCII character.  Latin-1 letters count as letters.  Words with an apostrophe or a bar stay in one
+    piece, as rules and special tokens may reach across; other characters beyond ASCII stay with their neighbours.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        # Tasks are what runs side by side; threads of the library would only add CPU time and memory.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.forget()
 
     def forget(self) -> None:
@@ -80,11 +101,29 @@ class Encoder:
                 number[here] = numbers[at[here]]
         return number
 
+    def ask(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of each part.  Parts that hold the mark, or a bar, as special tokens do, are asked for one by one."""
+        found: list[np.ndarray | None] = [None] * len(parts)
+        plain = [k for k, x in enumerate(parts) if MARK not in x and "|" not in x] if self.mark is not None else []
+        for k in range(0, len(plain), ASK):
+            some = plain[k:k + ASK]
+            asked = self.tokenizer.encode_batch_fast([f" {MARK} ".join([parts[i] for i in some])], add_special_tokens=False)
+            ids = np.array(asked[0].ids, dtype=np.uint32)
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(some) - 1:
+                for i, a, b in zip(some, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)]):
+                    found[i] = ids[a:b]
+        left = [k for k, x in enumerate(found) if x is None]
+        # The library's own results are large, so they are taken a few at a time.
+        for k in range(0, len(left), 16 * ASK):
+            some = left[k:k + 16 * ASK]
+            for i, x in zip(some, self.tokenizer.encode_batch_fast([parts[i] for i in some], add_special_tokens=False)):
+                found[i] = np.array(x.ids, dtype=np.uint32)
+        return found
+
     def learn(self, value: np.ndarray, parts: list[str]) -> np.ndarray:
         """Ask the library for the ids of new parts; returns their numbers."""
-        # The library's own results are large, so they are taken a few at a time.
-        found = [np.array(x.ids, dtype=np.uint32) for k in range(0, len(parts), 4096)
-                 for x in self.tokenizer.encode_batch_fast(parts[k:k + 4096], add_special_tokens=False)]
+        found = self.ask(parts)
         fresh = np.concatenate(found)
         while self.used + len(fresh) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
@@ -103,7 +142,7 @@ class Encoder:
         data = bytewords.LOWER[data]
         inside = ~bytewords.IS_GAP[data]
         start, end, _ = bytewords.spans(inside, offsets)
-        kind = _KIND[data]
+        kind = kinds(data)
         # A cut inside a word: two ASCII kinds meet, in a word without apostrophe or bar.
         meet = np.zeros(len(data) + 1, dtype=bool)
         if len(data) > 1:
@@ -120,7 +159,7 @@ class Encoder:
         distinct, example, inverse = np.unique(bytewords.hashes(data, starts, ends), return_index=True, return_inverse=True)
         number = self.find(distinct)
         if (number < 0).any():
-            if self.count and self.count + np.count_nonzero(number < 0) > REMEMBER:
+            if self.count and (self.count + np.count_nonzero(number < 0) > REMEMBER or self.used > REMEMBER_IDS * REMEMBER):
                 self.forget()
                 number[:] = -1
             new = number < 0
@@ -137,9 +176,8 @@ class Encoder:
 
 def merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two tables (hash, number) as one, sorted by hash."""
-    value, number = (np.concatenate(x) for x in zip(one, other))
-    order = np.argsort(value, kind="stable")
-    return value[order], number[order]
+    at = np.searchsorted(one[0], other[0])
+    return np.insert(one[0], at, other[0]), np.insert(one[1], at, other[1])
 
 
 def encoder(path: str) -> Encoder:
@@ -153,13 +191,13 @@ def id_type(wide: bool):
     return np.dtype("<u4") if wide else np.dtype("<u2")
 
 
-@bytewords.tidy
+@partial(bytewords.tidy, keep=(_workers,))
 def encode_batches(path: str, end_id: int | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     coder = encoder(path)
     packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         text = batch.column("text")
-        for first, last in bytewords.rounds(text):
+        for first, last in bytewords.rounds(text, ROUND_BYTES):
             found = coder.encode(text.slice(first, last - first), end_id)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").slice(first, last - first), batch.column("tie").slice(first, last - first),

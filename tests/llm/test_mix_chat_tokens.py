@@ -149,6 +149,45 @@ def test_encoder_forgets_and_goes_on(monkeypatch):
         assert list(coder.encode(pa.array([t]))[0]) == made.encode(t, add_special_tokens=False).ids + [2]
 
 
+def test_encoder_asks_for_many_parts_at_once(monkeypatch):
+    made, coder = Tokenizer.from_file(WORDS), tokens.Encoder(WORDS)
+    texts = ["0 00 10 a0b é0 0é", "é,ß.À ×a÷b, İ, ª, é\u0301,e\u0301 =\u0338é É\u0338=", "|0| <|endoftext|>0 'é, ü's ü'll0", "\u0301 0 \u0301x", "ÿ中Ãñ9ö中,ö"]
+    texts += ODD + [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}ü," for k in range(600))]
+    asked, ask = [], coder.ask
+    monkeypatch.setattr(coder, "ask", lambda parts: asked.extend(parts) or ask(parts))
+
+    class Counted:
+        calls = 0
+
+        def encode_batch_fast(self, given, **options):
+            self.calls += 1
+            return made.encode_batch_fast(given, **options)
+
+    coder.tokenizer = counted = Counted()
+    for t, got in zip(texts, coder.encode(pa.array(texts))):
+        assert list(got) == made.encode(t or "", add_special_tokens=False).ids + [2], t
+    # Latin-1 letters are cut from signs; 600 words are a few questions, not 600.
+    assert "waaü" in asked and "," in asked and "waaü," not in asked
+    assert len(asked) > 600 and counted.calls < 10
+
+
+def test_encoder_is_kept_for_the_next_task_and_bounded(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["one two three"])], names=["doc_id", "tie", "text"])
+    run = lambda: list(tokens.encode_batches(WORDS, 2, iter([batch])))
+    run()
+    coder = tokens._workers[WORDS]
+    asked, ask = [], coder.ask
+    monkeypatch.setattr(coder, "ask", lambda parts: asked.extend(parts) or ask(parts))
+    assert run()[0].column("n_tokens").to_pylist() == [4] and not asked and tokens._workers[WORDS] is coder
+    # Few long parts count by their ids.
+    monkeypatch.setattr(tokens, "REMEMBER_IDS", 0)
+    coder.encode(pa.array(["four"]))
+    assert coder.count == 1
+    # A task of another kind empties what is kept.
+    list(tokens.digest_batches("nowhere", iter([])))
+    assert not tokens._workers
+
+
 def test_disguised_words_are_restored():
     counts = np.zeros(toxicity.SYMBOLS ** toxicity.ORDER, dtype=np.int64)
     batch = pa.RecordBatch.from_arrays([pa.array([("idiot moron stupid worthless the and of to loser clown this is " * 20)])], names=["text"])
