@@ -154,7 +154,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     Pieces: shard, position (order inside the shard), row, doc_id, from_word, to_word: the words
     [from_word, to_word) of one pass over a document.  Documents: one row per row of `docs` with size,
     source_size and target of its source; every row counts, taken or not.  `row` numbers the rows of
-    `docs`: the column of that name, which must be stored, or else numbers given here.
+    `docs`: the column of that name, the same whenever it is read, or else numbers given here.
     A source gets its target rounded to whole words: the last block of its quota is cut there.
     """
     number = F.col(row) if row else F.monotonically_increasing_id()
@@ -201,19 +201,24 @@ def taken_words(pieces: DataFrame, documents: DataFrame) -> DataFrame:
     return documents.join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """Rows of `docs` repeated as often as the mix takes them, as whole texts with all their columns.
+def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
+    """Rows of `docs`, a stored table, repeated as often as the mix takes them, as whole texts with all their columns.
 
-    Only the document at the edge of a source's quota is rounded.
+    Only the document at the edge of a source's quota is rounded.  A row is known by a hash of its id, source
+    and text, below zero, so texts stay where they are; only rows that share a hash are stored, with a number each.
     """
     row = "_row"
     while row.lower() in {c.lower() for c in docs.columns}:
         row = "_" + row
-    stored = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
-    pieces, documents = mix(stored, row=row, **options)
+    numbered = docs.withColumn(row, -1 - F.shiftrightunsigned(F.xxhash64(doc_id, source, text), 1))
+    again = cut_lineage(numbered.groupBy(row).count().filter("count > 1").select(row))
+    if not again.isEmpty():
+        alike = cut_lineage(numbered.join(small(again), row, "left_semi").withColumn(row, F.monotonically_increasing_id()))
+        numbered = numbered.join(small(again), row, "left_anti").unionByName(alike)
+    pieces, documents = mix(numbered, text, source, doc_id, row=row, **options)
     copies = cut_lineage(taken_words(pieces, documents).filter("size > 0").select(
         "row", F.round(F.col("taken") / F.col("size")).cast("int").alias("times")
     ).filter("times > 0"))
-    joined = stored.alias("s").join(small(copies).alias("c"), F.col(f"s.{row}") == F.col("c.row"))
+    joined = numbered.alias("s").join(small(copies).alias("c"), F.col(f"s.{row}") == F.col("c.row"))
     repeated = F.explode(F.array_repeat(F.lit(0), F.col("c.times")))
     return joined.select(*[F.col(f"s.`{c}`") for c in docs.columns], repeated.alias(row)).select(*docs.columns)

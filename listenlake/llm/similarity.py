@@ -26,7 +26,7 @@ from listenlake.llm.graph import connected_components
 from listenlake.llm.postings import FREQUENT, Frequent, Packer, ranges_for, unpack
 from listenlake.llm.text import small
 from listenlake.llm.workers import send_package
-from listenlake.session import cut_lineage
+from listenlake.session import cut_lineage, remove, stored
 
 SHINGLE, PERCENT = 5, 75
 #: Largest set for which subsets may be chosen.
@@ -355,11 +355,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         made = texts(wanted).mapInArrow(whole_sets, "node long, n long, hashes array<long>")
         return made.dropDuplicates(["node"]) if repeated else made
 
-    lists = candidate_lists(cut_lineage(texts(heavy).mapInArrow(partial(pack_sets, ranges, frequent), PACKED)), ranges, nodes)
+    # Postings and sets are the size of the texts: each goes from the disk when what is made of it is stored.
+    packed, packed_path = stored(texts(heavy).mapInArrow(partial(pack_sets, ranges, frequent), PACKED))
+    lists = candidate_lists(packed, ranges, nodes)
+    remove(docs.sparkSession, packed_path)
     reached = cut_lineage(classes.join(small(cut_lineage(lists.select("node").distinct())), "node", "left_semi"))
-    edges = heavy_edges(lists, cut_lineage(sets(reached)))
-    light = light_edges(cut_lineage(sets(classes.filter(F.col("n") <= boundary))))
-    labels = connected_components(edges.unionByName(light))
+    large_sets, large_path = stored(sets(reached))
+    small_sets, small_path = stored(sets(classes.filter(F.col("n") <= boundary)))
+    labels = connected_components(heavy_edges(lists, large_sets).unionByName(light_edges(small_sets)))
+    for path in (large_path, small_path):
+        remove(docs.sparkSession, path)
     named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     final = cut_lineage(named.join(smallest, "label").select(*signature, "class_id", "component_id"))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from listenlake.llm import bytewords
 from listenlake.llm.workers import send_package
-from listenlake.session import cut_lineage, scratch_path
+from listenlake.session import cut_lineage, remove, scratch_path, stored
 
 MAGIC = b"TOKSHRD1"
 TAIL = struct.Struct("<QB32s8s")
@@ -310,7 +310,7 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, text: str = "text"
     send_package(docs.sparkSession)
     kind = dict(docs.dtypes)[doc_id]
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"), F.col(text).cast("string").alias("text"))
-    coded = cut_lineage(plain.mapInArrow(partial(encode_batches, vocabulary, end_id), f"doc_id {kind}, tie long, n_tokens long, packed binary"))
+    coded, coded_path = stored(plain.mapInArrow(partial(encode_batches, vocabulary, end_id), f"doc_id {kind}, tie long, n_tokens long, packed binary"))
     total, n_docs = (x or 0 for x in coded.agg(F.sum("n_tokens"), F.count("*")).first())
     # About `sample_docs` documents: those whose hash lies in the share of the hash range that holds so many.
     share = min(1.0, sample_docs / max(n_docs, 1))
@@ -324,7 +324,9 @@ def write_tokens(docs: DataFrame, root: str, vocabulary: str, text: str = "text"
     wide = encoder(vocabulary).wide
     shards = max(1, -(-total // shard_tokens))
     ordered = coded.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return cut_lineage(ordered.mapInArrow(partial(write_batches, root, dictionary, wide), "shard long, name string, n_docs long, n_tokens long"))
+    manifest = cut_lineage(ordered.mapInArrow(partial(write_batches, root, dictionary, wide), "shard long, name string, n_docs long, n_tokens long"))
+    remove(docs.sparkSession, coded_path)
+    return manifest
 
 
 def read_tokens(manifest: DataFrame, root: str, id_kind: str = "bigint") -> DataFrame:

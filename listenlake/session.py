@@ -71,6 +71,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Losing executors then loses no work, later plans start small, and unlike a
     checkpoint the table has columns to prune and a size to plan joins by.
     """
+    return stored(df)[0]
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """`cut_lineage` and the table's path, for who removes it when all that reads it is stored itself."""
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared scratch."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

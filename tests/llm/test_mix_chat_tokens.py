@@ -1,6 +1,7 @@
 """Mixing, chat formatting, token output, toxicity and the pipeline."""
 
 import hashlib
+import os
 import random
 import zlib
 
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from listenlake.llm import chat, mixing, tokens, toxicity
-from listenlake.session import scratch_path
+from listenlake.session import checkpoint_root, cut_lineage, scratch_path
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,6 +92,35 @@ def test_mixed_documents_are_whole_rows(spark):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mixing_stores_no_texts_but_those_of_rows_alike(spark, monkeypatch):
+    rows = [(i, "ab"[i % 2], f"w{i} " * 30, i) for i in range(40)] + [(7, "a", "x y z", 1), (7, "a", "x y z", 2), (7, "b", "x y z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, extra long")
+    texts = []
+
+    def noted(df):
+        if "text" in df.columns:
+            texts.extend(r.text for r in df.select("text").collect())
+        return cut_lineage(df)
+
+    monkeypatch.setattr(mixing, "cut_lineage", noted)
+    got = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    assert texts == ["x y z"] * 2
+    assert set(got) <= set(rows) and max(got.count(r) for r in rows) <= 2
+    words = {s: sum(len(t.split()) for _, x, t, _ in rows if x == s) for s in "ab"}
+    for s, want in targets(words).items():
+        assert abs(sum(len(t.split()) for _, x, t, _ in got if x == s) - want) <= 30
+
+
+def test_token_output_leaves_only_files_and_manifest(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(50)], "doc_id long, text string")
+    folder = checkpoint_root(spark)
+    before = set(os.listdir(folder))
+    root = f"{folder}/kept-tokens"
+    manifest = tokens.write_tokens(docs, root, WORDS)
+    left = set(os.listdir(folder)) - before - {"kept-tokens"}
+    assert [f"{folder}/{x}" for x in left] == [manifest.inputFiles()[0].removeprefix("file://").rpartition("/")[0]]
+
+
 def test_chat_round_trip_and_mask(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(1, 0, "system", "be\\kind"), (1, 2, "assistant", said), (1, 1, "user", said), (2, 0, "assistant", None), (2, 1, None, ""),
