@@ -9,8 +9,9 @@ from functools import wraps
 import numpy as np
 import pyarrow as pa
 
-#: Texts are worked on together up to so many bytes; a longer text is worked on alone.
-ROUND_BYTES = 1 << 20
+#: Texts are worked on together up to so many bytes, as arrays of their words and runs are up to a hundred times as large;
+#: a longer text is worked on alone.
+ROUND_BYTES = 1 << 17
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

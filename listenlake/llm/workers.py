@@ -9,14 +9,17 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-#: Rows and bytes of an Arrow batch at most: whole texts are long, and workers hold a batch at a time.
-BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+#: Rows and bytes of an Arrow batch at most: whole texts are long, and executors and workers hold a batch at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+#: Parquet's reads of many ranges at once keep direct buffers beside the heap, one per reading thread; a session may set it to "true".
+RANGES_AT_ONCE = "parquet.hadoop.vectored.io.enabled"
 
 _sent: weakref.WeakSet = weakref.WeakSet()
 
 
 def send_package(spark: SparkSession) -> None:
-    """Once per Spark application, by Spark's own file server; batches for workers are kept small."""
+    """Once per Spark application, by Spark's own file server; batches for workers and buffers for reads are kept small."""
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
         spark.conf.set(rows, str(BATCH_ROWS))
@@ -24,6 +27,8 @@ def send_package(spark: SparkSession) -> None:
     given = str(spark.conf.get(size)).lower().rstrip("b")
     if not (given.isdigit() and 0 < int(given) <= BATCH_BYTES):
         spark.conf.set(size, str(BATCH_BYTES))
+    if spark.conf.get(RANGES_AT_ONCE, None) is None:
+        spark.conf.set(RANGES_AT_ONCE, "false")
     context = spark.sparkContext
     if context in _sent:
         return
