@@ -89,7 +89,8 @@ def top_artists_keyed(lake: Lake, limit: int = 10, param: int = 0, start=None, e
     if per_library:
         # Numbers follow the ids, so lists are cut by them; only what is left is named.  A second cut, as an id may have two names.
         numbers = number_artists(names.dropna(subset=["artist_id"]))
-        ranked = top(per_library_artist(lake, rolled, numbers), metric(param), ["artist_no"], limit, per_library)
+        summed = per_library_artist(lake, rolled, numbers, by=metric(param), limit=limit)
+        ranked = top(summed, metric(param), ["artist_no"], limit, per_library)
         named = ranked.join(numbers, "artist_no").drop("artist_no").join(names, "artist_id")
     else:
         named = rolled.join(all_artists(lake), "track_isrc").groupBy("artist_id").agg(*totals()).join(names, "artist_id")
