@@ -6,6 +6,7 @@ from collections import defaultdict
 import pyarrow as pa
 import pytest
 
+from listenlake.checks import fixtures
 from listenlake.operators import credits, lists
 from listenlake.operators.rollup import per_track
 from listenlake.plans import reports
@@ -80,3 +81,21 @@ def test_lists_per_library_are_cut_before_they_leave_the_workers(spark, make_lak
     wide = reports.top_artists_keyed(lk, limit=1, per_library=True)
     assert "Generate inline" in wide._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r["library"] or "", r["artist_id"]) for r in wide.collect()) == [("", "a0"), ("x", "a3"), ("y", "a1")]
+
+
+def test_sums_by_library_and_artist_hold_one_library_not_a_task(make_lake):
+    lk = lake_of(make_lake)
+    numbers = credits.number_artists(credits.all_artists(lk))
+    plan = credits.per_library_artist(lk, per_track(lk.plays, ["library"]), numbers)._jdf.queryExecution().optimizedPlan().toString()
+    # Between the shuffle to a library and the result rows are sorted and summed in workers; no hash table of pairs.
+    above = plan[:plan.index("RepartitionByExpression")]
+    assert "MapInArrow" in above and "Sort [library" in above and "Aggregate" not in above
+
+
+def test_features_are_made_distinct_as_numbers(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2), (1, 2), (1, None), (1, None), (None, 2), (12, 2), (1, 22)], "l_partkey bigint, l_suppkey bigint")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    features = fixtures.track_features(spark, str(tmp_path))
+    assert "Aggregate [l_partkey" in features._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, features.collect()), key=str) == sorted(
+        [("1", "S2"), ("1", None), (None, "S2"), ("12", "S2"), ("1", "S22")], key=str)
